@@ -32,6 +32,12 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(docs, learn(docs, table(spark, sf_dir, "labels")))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillmark.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
