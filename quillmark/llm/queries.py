@@ -53,6 +53,13 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_conversations(rows.unionByName(extra))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillmark.llm.secrets import learn, scan
+
+    docs = table(spark, sf_dir, "documents")
+    return scan(docs, learn(docs))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
