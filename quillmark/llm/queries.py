@@ -66,6 +66,13 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillmark.llm.langid import identify, learn
+
+    docs = table(spark, sf_dir, "documents")
+    return identify(docs, learn(docs))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
