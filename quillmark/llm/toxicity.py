@@ -18,6 +18,8 @@ from quillmark.llm.common import crc_fold, map_batches
 SAMPLE_PER_CLASS = 3000
 #: A lexicon entry is seen in so many different training texts at least, and has so many letters as a word prefix.
 LEAST_SEEN, PREFIXES = 3, (4, 5, 6, 7, 8)
+#: It is so many times as frequent in toxic training texts as in others.
+LEAST_RATIO = 10
 THRESHOLD = 0.7
 
 _LOOKS_LIKE = {
@@ -89,9 +91,11 @@ def _patterns(folded: str) -> set[str]:
     return {f" {w} " for w in words if len(w) > 2} | {f" {w[:n]}" for w in words for n in PREFIXES if len(w) > n}
 
 
-def _family(words: list[str]) -> int:
-    """The least hash of any three words in a row: copies and near copies of a text mostly share it."""
-    return min((xxhash.xxh3_64_intdigest(" ".join(words[k : k + 3])) for k in range(max(1, len(words) - 2))), default=0)
+def _families(text: str) -> list[int]:
+    """Three independent least hashes of any three words in a row: near copies of a text share one or more."""
+    words = text.split()
+    grams = {xxhash.xxh3_64_intdigest(" ".join(words[k : k + 3])) for k in range(max(1, len(words) - 2))}
+    return [min(grams, key=lambda h: h * odd & 0xFFFFFFFFFFFFFFFF) * 4 + k & 0xFFFFFFFFFFFFFFFF for k, odd in enumerate((1, 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93))]
 
 
 def _surprise(a: int, n: int, b: int, m: int) -> float:
@@ -105,17 +109,16 @@ def _surprise(a: int, n: int, b: int, m: int) -> float:
 
 def fit(texts: list[str], toxic: list[int]) -> Model:
     """Learn lexicon, excused phrases and final line from labelled texts. Near copies of a text count once."""
-    seen: dict[int, set[tuple[int, int]]] = defaultdict(set)
+    seen: dict[int, set[int]] = defaultdict(set)
     counts: dict[int, Counter[str]] = {0: Counter(), 1: Counter()}
     folded = [fold(t) for t in texts]
     first = []
     for text, y in zip(folded, toxic):
-        key = (_family(text.split()), len(text) // 4000)
-        if key in seen[y]:
-            continue
-        seen[y].add(key)
-        first.append((text, y))
-    size = {y: max(1, len(seen[y])) for y in (0, 1)}
+        keys = _families(text)
+        if seen[y].isdisjoint(keys):
+            first.append((text, y))
+        seen[y].update(keys)
+    size = {y: max(1, sum(label == y for _, label in first)) for y in (0, 1)}
     for text, y in first:
         if y:
             counts[1].update(_patterns(text))
@@ -127,7 +130,7 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
     ranked = []
     for p in likely:
         a, b = counts[1][p], counts[0][p]
-        if a / size[1] > 10 * (b / size[0]) and (g := _surprise(a, size[1], b, size[0])) >= need:
+        if a / size[1] > LEAST_RATIO * b / size[0] and (g := _surprise(a, size[1], b, size[0])) >= need:
             ranked.append((g, p, math.log((a + 0.5) / (size[1] + 1)) - math.log((b + 0.5) / (size[0] + 1))))
     model, held = Model(), set()
     for _, p, weight in sorted(ranked, key=lambda r: (-r[0], len(r[1]), r[1])):
