@@ -14,22 +14,29 @@ from quillmark.llm.components import connected_components
 BANDS, ROWS = 40, 5
 SAMPLES = BANDS * ROWS
 SKETCH_BITS = 512
+#: The finer sketches of classes whose buckets stay mixed, which rule out all but the highest similarities.
+FINE_SAMPLES, FINE_BITS = 2400, 4096
+#: Times that each bucket draws a class to hold its others against, before classes are held against each other.
+DRAWS = 3
 #: Candidates are filtered by a bitmap of at most this many bits (1 MiB): a bound that no input exceeds.
 BITMAP_BITS = 1 << 23
 
 _RNG = np.random.Generator(np.random.PCG64(7411))
-_A = _RNG.integers(0, 2**31, SAMPLES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_A = _RNG.integers(0, 2**31, FINE_SAMPLES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _ROW_MIX = _RNG.integers(0, 2**63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BAND = mix64(np.arange(1, BANDS + 1, dtype=np.uint64))
-_SALT = mix64(np.arange(1000, 1000 + SAMPLES, dtype=np.uint64))
+_SALT = mix64(np.arange(1000, 1000 + FINE_SAMPLES, dtype=np.uint64))
+#: Distinct sets that a worker holds while it confirms pairs, in bytes of text.
+HELD_BYTES = 16 << 20
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
+def signature(shingles: np.ndarray, samples: int = SAMPLES) -> np.ndarray:
     """The MinHash samples of a non-empty set of 64-bit hashes."""
     x = (shingles >> np.uint64(32)).astype(np.uint32)
-    best = np.full(SAMPLES, 0xFFFFFFFF, np.uint32)
-    for at in range(0, len(x), 1024):
-        np.minimum(best, np.multiply.outer(_A, x[at : at + 1024]).min(axis=1), out=best)
+    best = np.full(samples, 0xFFFFFFFF, np.uint32)
+    step = 1024 * SAMPLES // samples
+    for at in range(0, len(x), step):
+        np.minimum(best, np.multiply.outer(_A[:samples], x[at : at + step]).min(axis=1), out=best)
     return best
 
 
@@ -37,24 +44,24 @@ def band_keys(samples: np.ndarray) -> np.ndarray:
     return mix64((samples.reshape(BANDS, ROWS).astype(np.uint64) * _ROW_MIX).sum(axis=1, dtype=np.uint64) + _BAND)
 
 
-def odd_sketch(samples: np.ndarray) -> np.ndarray:
-    """Each (index, sample) flips one of SKETCH_BITS bits; the parities as eight 64-bit words."""
-    at = mix64(samples.astype(np.uint64) + _SALT) % np.uint64(SKETCH_BITS)
-    return np.packbits((np.bincount(at.astype(np.int64), minlength=SKETCH_BITS) & 1).astype(np.uint8)).view(np.uint64)
+def odd_sketch(samples: np.ndarray, bits: int = SKETCH_BITS) -> np.ndarray:
+    """Each (index, sample) flips one of ``bits`` bits; the parities as 64-bit words."""
+    at = mix64(samples.astype(np.uint64) + _SALT[: len(samples)]) % np.uint64(bits)
+    return np.packbits((np.bincount(at.astype(np.int64), minlength=bits) & 1).astype(np.uint8)).view(np.uint64)
 
 
-def estimate(differing_bits: int) -> float:
+def estimate(differing: int, samples: int = SAMPLES, bits: int = SKETCH_BITS) -> float:
     """Similarity estimated from the population count of two sketches' XOR."""
-    share = 1 - 2 * min(differing_bits, SKETCH_BITS // 2 - 1) / SKETCH_BITS
-    return 1 + SKETCH_BITS / (4 * SAMPLES) * float(np.log(share))
+    share = 1 - 2 * min(differing, bits // 2 - 1) / bits
+    return 1 + bits / (4 * samples) * float(np.log(share))
 
 
-def most_bits(similarity: float) -> int:
-    """Differing bits that a pair of this similarity exceeds with a probability below 1e-9 (6.5 deviations)."""
-    flips, keep = 2 * SAMPLES * (1 - similarity), lambda f: SKETCH_BITS / 2 * (1 - np.exp(-2 * f / SKETCH_BITS))
-    spread = 2 * np.sqrt(SAMPLES * similarity * (1 - similarity))
+def most_bits(similarity: float, samples: int = SAMPLES, bits: int = SKETCH_BITS, deviations: float = 6.5) -> int:
+    """Differing bits that a pair of this similarity exceeds only by so many deviations (6.5: one in 10^10 pairs)."""
+    flips, keep = 2 * samples * (1 - similarity), lambda f: bits / 2 * (1 - np.exp(-2 * f / bits))
+    spread = 2 * np.sqrt(samples * similarity * (1 - similarity))
     noise = np.sqrt((keep(flips + spread) - keep(flips)) ** 2 + keep(flips) * 0.4)
-    return int(np.ceil(keep(flips) + 6.5 * noise))
+    return int(np.ceil(keep(flips) + deviations * noise))
 
 
 FEATURES = "doc_id long, n_shingles long, fa long, fb long, bands array<long>, sketch array<long>"
@@ -89,10 +96,60 @@ def _differing(a: str, b: str) -> Column:
 
 
 def _sifted(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
-    """Pairs ``(a, b)`` whose odd sketches don't rule out the similarity."""
+    """Pairs ``(a, b)`` whose odd sketches don't rule out the similarity, with the number of bits that differ."""
     left = sketches.select(F.col("rep").alias("a"), F.col("sketch").alias("sa"))
     right = sketches.select(F.col("rep").alias("b"), F.col("sketch").alias("sb"))
-    return pairs.join(left, "a").join(right, "b").where(_differing("sa", "sb") <= most_bits(similarity)).select("a", "b")
+    both = pairs.join(left, "a").join(right, "b").withColumn("bits", _differing("sa", "sb"))
+    return both.where(F.col("bits") <= most_bits(similarity)).select("a", "b", "bits")
+
+
+def _mixed(entries: DataFrame) -> DataFrame:
+    """Entries ``(band, rep, c)`` of the buckets that hold more than one component."""
+    ends = entries.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("band")
+    return entries.join(ends, "band")
+
+
+def _across(entries: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components in one bucket that their fine sketches don't rule out.
+
+    Buckets arrive sorted, component by component. Only members outside a bucket's largest component are held
+    against the rest, in blocks, and only pairs that pass leave the worker.
+    """
+    limit = most_bits(percent / 100, FINE_SAMPLES, FINE_BITS, 5.0)
+    dealt = entries.join(sketches, "rep").select("band", "rep", "c", "n", "sketch").repartition("band").sortWithinPartitions("band", "c", "rep")
+
+    def bucket(rep: np.ndarray, c: np.ndarray, n: np.ndarray, sketch: np.ndarray):
+        names, counts = np.unique(c, return_counts=True)
+        if len(names) < 2:
+            return
+        rest = np.flatnonzero(c != names[counts.argmax()])
+        for at in range(0, len(rest), 64):
+            own = rest[at : at + 64]
+            fits = (c[own, None] != c[None, :]) & (100 * n[own, None] >= percent * n[None, :]) & (100 * n[None, :] >= percent * n[own, None])
+            bits = np.zeros((len(own), len(rep)), np.uint16)
+            for k in range(sketch.shape[1]):
+                bits += np.bitwise_count(sketch[own, k, None] ^ sketch[None, :, k])
+            x, y = np.nonzero((bits <= limit) & fits)
+            if len(x):
+                i, j = rep[own[x]], rep[y]
+                pairs = np.unique(np.stack([np.minimum(i, j), np.maximum(i, j)], 1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    def run(batches):
+        held: list[tuple] = []
+        for batch in batches:
+            band, rep, c, n = (batch.column(k).to_numpy() for k in range(4))
+            sketch = batch.column(4).flatten().to_numpy().view(np.uint64).reshape(-1, FINE_BITS // 64)
+            cuts = np.flatnonzero(np.diff(band)) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, len(band)]):
+                if held and held[0][0][0] != band[lo]:
+                    yield from bucket(*(np.concatenate([h[k] for h in held]) for k in (1, 2, 3, 4)))
+                    held = []
+                held.append((band[lo:hi], rep[lo:hi], c[lo:hi], n[lo:hi], sketch[lo:hi]))
+        if held:
+            yield from bucket(*(np.concatenate([h[k] for h in held]) for k in (1, 2, 3, 4)))
+
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -117,6 +174,19 @@ def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return map_batches(source, run, "doc_id long, text string")
 
 
+def fine_sketches(docs: DataFrame, reps: DataFrame, shingle: int) -> DataFrame:
+    """``rep, n, sketch`` of the wanted documents (and of a few others, as the bitmap lets them through)."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [shingle_set(t, shingle) for t in text_bytes(batch.column(1))]
+        rows = [odd_sketch(signature(s, FINE_SAMPLES), FINE_BITS) if len(s) else np.zeros(FINE_BITS // 64, np.uint64) for s in sets]
+        flat = np.concatenate(rows) if rows else np.zeros(0, np.uint64)
+        sizes = pa.array([len(s) for s in sets], pa.int64())
+        return pa.RecordBatch.from_arrays([batch.column(0), sizes, lists(flat.view(np.int64), FINE_BITS // 64, pa.int64())], ["rep", "n", "sketch"])
+
+    return map_batches(_texts_of(docs, reps.select(F.col("rep").alias("doc_id"))), run, "rep long, n long, sketch array<long>")
+
+
 def confirmed(docs: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The pairs ``(a, b)`` with 100 * |A and B| >= percent * |A or B| on full sets, by joining both texts to each pair."""
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id")))
@@ -125,16 +195,27 @@ def confirmed(docs: DataFrame, pairs: DataFrame, shingle: int, percent: int) ->
     both = both.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
 
     def run(batches):
-        last, held = None, None
+        held: dict[bytes, np.ndarray] = {}
+        size = 0
+
+        def of(text: bytes) -> np.ndarray:
+            nonlocal size
+            if (found := held.get(text)) is None:
+                if size > HELD_BYTES:
+                    held.clear()
+                    size = 0
+                found = held[text] = shingle_set(text, shingle)
+                size += len(text)
+            return found
+
         for batch in batches:
             keep = np.zeros(batch.num_rows, bool)
-            hubs = batch.column(0).to_pylist()
             for i, (ta, tb) in enumerate(zip(text_bytes(batch.column(2)), text_bytes(batch.column(3)))):
-                if hubs[i] != last:
-                    last, held = hubs[i], shingle_set(ta, shingle)
-                other = shingle_set(tb, shingle)
-                common = len(np.intersect1d(held, other, assume_unique=True))
-                keep[i] = 100 * common >= percent * (len(held) + len(other) - common)
+                one, other = of(ta), of(tb)
+                both = np.concatenate([one, other])
+                both.sort(kind="stable")
+                common = int(np.count_nonzero(both[1:] == both[:-1]))
+                keep[i] = 100 * common >= percent * (len(both) - common)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     small_batches(docs.sparkSession)
@@ -150,9 +231,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     get a null component and are kept. A repeated doc_id is one node with several rows. Other columns are ignored.
 
     1. Equal sets form classes by a 128-bit fingerprint (partial aggregation: any number of copies is cheap).
-    2. Every class is checked against the smallest class of each of its band buckets, a star and not all pairs.
-    3. In buckets that still hold more than one component, classes of different components are checked too, so
-       no link between different sets that share a band is lost; buckets already joined need no further pair.
+    2. Every bucket of a band draws one of its classes by hash, and each class is checked against the most similar
+       one, by sketch, that its buckets drew: a star and not all pairs. Buckets that still hold more than one
+       component draw again, ``DRAWS`` times in all.
+    3. In buckets that then still hold more than one component, classes of different components are checked too,
+       so no link between different sets that share a band is lost; buckets already joined need no further pair.
     """
     small_batches(docs.sparkSession)
     feats = materialize(features(docs, shingle), "minhash")
@@ -162,26 +245,32 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     reps = classes.join(feats, (feats.doc_id == classes.rep) & (feats.fa == classes.fa) & (feats.fb == classes.fb)).select("rep", "bands", "sketch")
     reps = reps.dropDuplicates(["rep"])
     entries = reps.select("rep", F.explode("bands").alias("band"))
-    hubs = entries.groupBy("band").agg(F.min("rep").alias("hub"), F.count("*").alias("m")).where("m > 1")
-    shared = materialize(entries.join(hubs.select("band", "hub"), "band"), "buckets")
+    several = entries.groupBy("band").agg(F.count("*").alias("m")).where("m > 1").select("band")
+    shared = materialize(entries.join(several, "band"), "buckets")
     active = shared.select("rep").distinct()
     sketches = materialize(reps.select("rep", "sketch").join(active, "rep"), "sketches")
 
-    stars = shared.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    sifted = _sifted(stars, sketches, percent / 100)
-    first = materialize(confirmed(docs, materialize(sifted.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "pairs"), shingle, percent), "links")
-    links = first.select(F.col("a").alias("u"), F.col("b").alias("v"))
-    joined = connected_components(links)
-
-    where = shared.select("band", "rep").join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", F.coalesce("component", "rep").alias("c"))
-    mixed = where.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("band")
-    open_ = materialize(where.join(mixed, "band"), "open")
-    left = open_.select("band", F.col("rep").alias("a"), F.col("c").alias("ca"))
-    right = open_.select("band", F.col("rep").alias("b"), F.col("c").alias("cb"))
-    across = left.join(right, "band").where("a < b and ca <> cb").select("a", "b").distinct()
-    rest = materialize(_sifted(across, sketches, percent / 100).join(first, ["a", "b"], "left_anti"), "pairs")
-    second = confirmed(docs, rest, shingle, percent).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    parts = connected_components(links.unionByName(materialize(second, "links")))
+    similarity = percent / 100
+    pick = lambda n: F.min(F.struct(F.xxhash64("rep", F.lit(n)).alias("h"), "rep"))["rep"].alias("hub")
+    links = tested = parts = None
+    open_ = shared.withColumn("c", F.col("rep"))
+    for draw in range(DRAWS):
+        drawn = open_.join(open_.groupBy("band").agg(pick(draw)), "band").where("rep <> hub")
+        pairs = drawn.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"), "rep").distinct()
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        near = _sifted(pairs.select("a", "b").distinct(), sketches, similarity).join(pairs, ["a", "b"])
+        best = near.groupBy("rep").agg(F.min(F.struct("bits", "a", "b")).alias("x")).select("x.a", "x.b").distinct()
+        best = materialize(best, "pairs")
+        found = materialize(confirmed(docs, best, shingle, percent), "links")
+        links, tested = (found, best) if links is None else (links.unionByName(found), tested.unionByName(best))
+        parts = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("node", "rep")
+        named_ = shared.join(parts, "rep", "left").select("band", "rep", F.coalesce("component", "rep").alias("c"))
+        open_ = materialize(_mixed(named_), "open")
+    fine = fine_sketches(docs, open_.select("rep").distinct(), shingle)
+    rest = materialize(_across(open_, fine, percent).join(tested, ["a", "b"], "left_anti"), "pairs")
+    links = links.unionByName(materialize(confirmed(docs, rest, shingle, percent), "links"))
+    parts = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
     label = member.distinct().join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
     label = label.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
