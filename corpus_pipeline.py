@@ -1,13 +1,75 @@
-"""The corpus pipeline: toxicity, exact and near duplicates, benchmark decontamination, packing."""
+"""The corpus pipeline: toxicity, exact and near duplicates, benchmark decontamination, packing.
+
+Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last return the
+columns of ``documents``; rows with equal doc_id are treated alike.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+
+from quillmark.llm.common import materialize
+from quillmark.llm.decontamination import decontaminate
+from quillmark.llm.exact import exact_duplicates
+from quillmark.llm.minhash import near_duplicates
+from quillmark.llm.packing import pack_documents
+from quillmark.llm.toxicity import learn, toxicity
+from quillmark.session import ship
+
+#: Learned scores, set similarities and token ids can't be expressed in SQL; the tests hold stages against brute force.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
+def _only(docs: DataFrame, verdicts: DataFrame, dropped) -> DataFrame:
+    """``docs`` without the rows whose doc_id is among the dropped ones; a null doc_id always stays."""
+    return docs.join(verdicts.where(dropped).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a toxicity score of 0.7 or more go."""
+    ship(spark)
+    model = learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return _only(docs, toxicity(docs, model), "predicted = 1")
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the document with the largest doc_id stays."""
+    ship(spark)
+    return _only(docs, exact_duplicates(docs), "not kept")
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by five-word shingles (similarity 0.8) the one with the smallest doc_id stays."""
+    ship(spark)
+    return _only(docs, near_duplicates(docs, shingle=5, percent=80), "not kept")
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold half of a benchmark item or more go."""
+    ship(spark)
+    return _only(docs, decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")), "contaminated")
+
+
+def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is left, cut and packed into windows of 4096 tokens."""
+    ship(spark)
+    return pack_documents(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact_dedup", drop_copies),
+    ("near_dedup", drop_near_copies),
+    ("decontamination", drop_leaks),
+    ("packing", pack_windows),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, each result written to the shared folder and read again before the next one."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = materialize(docs, name)
     return docs
