@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import heapq
+import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -17,7 +20,8 @@ WINDOW, END_ID = 4096, 2
 PIECE = 512
 #: Windows that are balanced against each other: bounds one group's work, whatever the corpus.
 GROUP_WINDOWS = 192
-CACHE_WORDS = 300_000
+#: Different words that a worker remembers.
+CACHE_WORDS = 900_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 SCHEMA = PIECES + ", sequence_id long, offset long"
@@ -32,73 +36,94 @@ def word_bpe_path() -> str:
 class WordCachedTokenizer:
     """Ids as ``Tokenizer.encode(text, add_special_tokens=False)`` gives them, for tokenizers that drop white space.
 
-    Such a tokenizer never joins what white space divides, so a text's ids are those of its words one after the
-    other; each different word goes through the tokenizer once.
+    Such a tokenizer never joins what white space divides, and this one takes a run of letters for itself and ignores
+    capitals. So a text's ids are those of its words one after the other, and each different run of letters goes
+    through the tokenizer once.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[k for word, k in vocabulary.items() if word.endswith("</w>")]] = True
         self._clear()
 
     def _clear(self) -> None:
         self.known: dict[str, int] = {}
         self.pool, self.used = np.zeros(1 << 20, np.uint32), 0
-        self.start, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.start, self.size = np.zeros(1 << 17, np.int64), np.zeros(1 << 17, np.int64)
 
-    def _put(self, word: str, ids) -> None:
-        n = len(self.known)
+    def _put(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        n, m = len(self.known), len(words)
         while self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        if n == len(self.start):
+        while n + m > len(self.start):
             self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
         self.pool[self.used : self.used + len(ids)] = ids
-        self.start[n], self.size[n] = self.used, len(ids)
+        self.start[n : n + m] = self.used + np.cumsum(sizes) - sizes
+        self.size[n : n + m] = sizes
         self.used += len(ids)
-        self.known[word] = n
+        self.known.update(zip(words, range(n, n + m)))
+
+    def _ask(self, words: list[str]) -> None:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        self._put(words, np.array([i for ids in found for i in ids], np.uint32), np.array([len(ids) for ids in found], np.int64))
+
+    def _ask_letters(self, words: list[str]) -> None:
+        """Runs of letters, many at once: the last id of each is one that ends a word."""
+        for at in range(0, len(words), 512):
+            some = words[at : at + 512]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
+            last = np.flatnonzero(self.ends[ids])
+            if len(last) == len(some):
+                self._put(some, ids, np.diff(last, prepend=-1))
+            else:
+                self._ask(some)
 
     def _learn(self, words: set[str]) -> None:
-        """New words, most of them a known word in capitals or with a mark at its end."""
-        ask, later = [], []
-        for word in words:
-            bare = word.lower()
-            tail = bare[-1:] if bare[-1:] in ".," and bare[:-1].isalpha() else ""
-            bare = bare[:-1] if tail else bare
-            if bare != word and bare.isascii() and bare.isalpha():
-                later.append((word, bare, tail))
-                if bare not in self.known:
-                    ask.append(bare)
-                if tail and tail not in self.known:
-                    ask.append(tail)
-            else:
-                ask.append(word)
-        ask = list(dict.fromkeys(w for w in ask if w not in self.known))
-        for word, found in zip(ask, self.tokenizer.encode_batch_fast(ask, add_special_tokens=False)):
-            self._put(word, found.ids)
-        for word, bare, tail in later:
-            if word not in self.known:
-                self._put(word, np.concatenate([self.ids_of(x) for x in (bare, tail) if x]))
-
-    def ids_of(self, word: str) -> np.ndarray:
-        k = self.known[word]
-        return self.pool[self.start[k] : self.start[k] + self.size[k]]
+        plain = [w for w in words if w.isalpha()]
+        marked = [w for w in words if w[-1] in ".," and w[:-1].isalpha()]
+        marked_ = set(marked)
+        rest = [w for w in words if not w.isalpha() and w not in marked_]
+        stems = {w[:-1] for w in marked}.difference(self.known, plain)
+        self._ask_letters(plain + list(stems))
+        self._ask(rest + [m for m in {w[-1] for w in marked} if m not in self.known and m not in words])
+        if marked:
+            at = np.array([(self.known[w[:-1]], self.known[w[-1]]) for w in marked], np.int64).reshape(-1)
+            self._put(marked, self._gather(at), self.size[at].reshape(-1, 2).sum(axis=1))
+
+    def _gather(self, at: np.ndarray) -> np.ndarray:
+        sizes = self.size[at]
+        ends = np.cumsum(sizes)
+        return self.pool[np.arange(ends[-1]) + np.repeat(self.start[at] - ends + sizes, sizes)]
 
     def encode(self, text: str) -> np.ndarray:
-        if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # Python splits at these, the tokenizer doesn't
+        """The ids of a whole text."""
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text)
+        if _ODD.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        words = text.split()
+        words = text.lower().split()
         if not words:
             return np.zeros(0, np.uint32)
         if fresh := set(words).difference(self.known):
-            if len(self.known) + len(fresh) > CACHE_WORDS:
+            if len(self.known) + 2 * len(fresh) > CACHE_WORDS:
                 self._clear()
                 fresh = set(words)
             self._learn(fresh)
-        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        sizes = self.size[at]
-        ends = np.cumsum(sizes)
-        return self.pool[np.arange(ends[-1]) + np.repeat(self.start[at] - ends + sizes, sizes)]
+        return self._gather(np.fromiter(map(self.known.__getitem__, words), np.int64, len(words)))
+
+
+#: Where Python splits or lower-cases otherwise than the tokenizer, or the tokenizer knows the string as a whole.
+_ODD = re.compile("[\x1c-\x1f\u03a3]|<\\|(?:start|end)oftext")
+
+
+@functools.lru_cache(maxsize=1)
+def _tokenizer(path: str) -> WordCachedTokenizer:
+    """One for each Python worker: what it knows outlasts the task."""
+    return WordCachedTokenizer(path)
 
 
 def pieces(docs: DataFrame, path: str | None = None, window: int = WINDOW, piece: int = PIECE, end_id: int = END_ID) -> DataFrame:
@@ -106,9 +131,7 @@ def pieces(docs: DataFrame, path: str | None = None, window: int = WINDOW, piece
     path = path or word_bpe_path()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        tokenizer = run.__dict__.get("tokenizer")
-        if tokenizer is None:
-            tokenizer = run.tokenizer = WordCachedTokenizer(path)
+        tokenizer = _tokenizer(path)
         rows: list[tuple] = []
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             ids = np.append(tokenizer.encode(text or ""), np.uint32(end_id)).astype("<u4")
