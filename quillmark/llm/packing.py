@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import functools
 import heapq
-import re
 import unicodedata
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -99,25 +99,36 @@ class WordCachedTokenizer:
         ends = np.cumsum(sizes)
         return self.pool[np.arange(ends[-1]) + np.repeat(self.start[at] - ends + sizes, sizes)]
 
-    def encode(self, text: str) -> np.ndarray:
-        """The ids of a whole text."""
+    def _words(self, text: str) -> list[str] | None:
+        """Lower-cased words, or None where Python would divide or lower-case otherwise than the tokenizer."""
         if not text.isascii():
             text = unicodedata.normalize("NFC", text)
-        if _ODD.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        words = text.lower().split()
-        if not words:
-            return np.zeros(0, np.uint32)
-        if fresh := set(words).difference(self.known):
+        if any(x in text for x in _ODD):
+            return None
+        return text.lower().split()
+
+    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The ids of whole texts, one after the other; new words of all texts are learned together."""
+        split = [self._words(t) for t in texts]
+        found = [list(map(self.known.get, words)) if words else [] for words in split]
+        fresh = {w for words, at in zip(split, found) if None in at for w, k in zip(words, at) if k is None}
+        if fresh:
             if len(self.known) + 2 * len(fresh) > CACHE_WORDS:
                 self._clear()
-                fresh = set(words)
+                fresh = {w for words in split if words for w in words}
+                found = [[None] * len(at) for at in found]
             self._learn(fresh)
-        return self._gather(np.fromiter(map(self.known.__getitem__, words), np.int64, len(words)))
+        for text, words, at in zip(texts, split, found):
+            if words is None:
+                yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+            elif not words:
+                yield np.zeros(0, np.uint32)
+            else:
+                yield self._gather(np.array(list(map(self.known.__getitem__, words)) if None in at else at, np.int64))
 
 
 #: Where Python splits or lower-cases otherwise than the tokenizer, or the tokenizer knows the string as a whole.
-_ODD = re.compile("[\x1c-\x1f\u03a3]|<\\|(?:start|end)oftext")
+_ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "\u03a3", "<|startoftext", "<|endoftext")
 
 
 @functools.lru_cache(maxsize=1)
@@ -133,8 +144,9 @@ def pieces(docs: DataFrame, path: str | None = None, window: int = WINDOW, piece
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         tokenizer = _tokenizer(path)
         rows: list[tuple] = []
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            ids = np.append(tokenizer.encode(text or ""), np.uint32(end_id)).astype("<u4")
+        texts = [t or "" for t in batch.column(1).to_pylist()]
+        for doc_id, own in zip(batch.column(0).to_pylist(), tokenizer.encode(texts)):
+            ids = np.append(own, np.uint32(end_id)).astype("<u4", copy=False)
             full = len(ids) - len(ids) % window
             for a in (*range(0, full, window), *range(full, len(ids), piece)):
                 b = a + window if a < full else min(a + piece, len(ids))
