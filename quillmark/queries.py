@@ -1,21 +1,510 @@
-"""Queries of the reference's own operators over the shared tables, with DuckDB SQL beside each."""
+"""Queries of the reference's own operators over the shared tables, with DuckDB SQL beside each.
+
+Rankings break ties by id. Scores are rounded to six places on both sides.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillmark.functions import text as T
+from quillmark.functions import vector as V
+from quillmark.operators import chunk, duplicates, graph, keyword, retrieve, sessions, store
 
 Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
 
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query under its function's name, with the SQL that gives the same rows."""
 
-def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    def put(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return put
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def r6(c) -> F.Column:
+    return F.round(c, 6)
+
+
+# --- inputs ------------------------------------------------------------------------------------
+
+
+def vectors(spark: SparkSession, d: str) -> DataFrame:
+    """``id, embedding, kind, topic``: the label is both kind and topic."""
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", F.col("label").cast("string").alias("kind"), F.col("label").cast("string").alias("topic"))
+
+
+def asked(spark: SparkSession, d: str) -> DataFrame:
+    """Stated query set: every vector whose id is divisible by 100."""
+    return vectors(spark, d).where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("qv"))
+
+
+def texts(spark: SparkSession, d: str, topic: str = "source") -> DataFrame:
+    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col(topic).alias("topic"), "text")
+
+
+def one_topic(spark: SparkSession, d: str) -> DataFrame:
+    return texts(spark, d).withColumn("topic", F.lit("all"))
+
+
+def questions(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
+_DOT = "list_inner_product({}::DOUBLE[], {}::DOUBLE[])"
+_PAIRS = f"""pairs AS (SELECT q.vec_id AS query_id, e.vec_id AS id, e.label, {_DOT.format('q.embedding', 'e.embedding')} AS cos
+    FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q)"""
+
+
+def _topk(where: str, k: int, score: str = "cos") -> str:
+    return f"""WITH {_PAIRS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {score} DESC, id) AS rank FROM pairs WHERE {where})
+    SELECT query_id, rank, id, round({score}, 6) AS score FROM ranked WHERE rank <= {k}"""
+
+
+def _hits(found: DataFrame, score: str = "cos") -> DataFrame:
+    return found.select("query_id", "rank", "id", r6(F.col(score)).alias("score"))
+
+
+# --- dense retrieval -----------------------------------------------------------------------------
+
+
+@query(_topk("true", 10))
+def dense_batch_topk(spark, d):
+    return _hits(retrieve.dense_topk(asked(spark, d), vectors(spark, d), 10))
+
+
+@query(_topk("label IN (1, 3, 5)", 10))
+def dense_topk_kind_filter(spark, d):
+    return _hits(retrieve.dense_topk(asked(spark, d), vectors(spark, d), 10, kinds=["1", "3", "5"]))
+
+
+@query(_topk("cos >= 0.25", 10))
+def dense_min_score(spark, d):
+    return _hits(retrieve.dense_topk(asked(spark, d), vectors(spark, d), 10, min_score=0.25))
+
+
+@query(_topk("id <> query_id", 5))
+def neighbours_exclude_self(spark, d):
+    return _hits(retrieve.dense_topk(asked(spark, d), vectors(spark, d), 5, exclude_self=True))
+
+
+@query(_topk("id <> query_id AND cos >= 0.2", 1))
+def semantic_cache(spark, d):
+    return _hits(retrieve.dense_topk(asked(spark, d), vectors(spark, d), 1, min_score=0.2, exclude_self=True))
+
+
+# --- duplicates ---------------------------------------------------------------------------------
+
+
+@query(f"""SELECT a.vec_id AS a, b.vec_id AS b, round({_DOT.format('a.embedding', 'b.embedding')}, 6) AS cos FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id
+WHERE {_DOT.format('a.embedding', 'b.embedding')} >= 0.4""")
+def similar_pairs(spark, d):
+    return duplicates.similar_pairs(vectors(spark, d), 0.4).select("a", "b", r6(F.col("cos")).alias("cos"))
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT a.vec_id AS u, b.vec_id AS v FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id AND {_DOT.format('a.embedding', 'b.embedding')} >= 0.4),
+reach(u, v) AS (SELECT u, v FROM e UNION SELECT r.u, e.v FROM reach r JOIN e ON r.v = e.u),
+c AS (SELECT u AS id, least(u, min(v)) AS cluster FROM reach GROUP BY u)
+SELECT id, cluster, count(*) OVER (PARTITION BY cluster) AS size FROM c""")
+def duplicate_clusters(spark, d):
+    return duplicates.clusters(vectors(spark, d), 0.4)
+
+
+@query("""SELECT left(sha1(text), 16) AS hash, min(doc_id) AS first_id, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1""")
+def exact_duplicate_groups(spark, d):
+    return texts(spark, d).groupBy(T.content_hash(F.col("text")).alias("hash")).agg(F.min("id").alias("first_id"), F.count("*").alias("n")).where("n > 1")
+
+
+# --- topics and routing ---------------------------------------------------------------------------
+
+_CENTROIDS = """parts AS (SELECT label, i, avg(x::DOUBLE) AS x FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY 1, 2),
+lens AS (SELECT label, sqrt(sum(x * x)) AS n FROM parts GROUP BY 1),
+middles AS (SELECT label::VARCHAR AS topic, list(x / n ORDER BY i) AS centroid FROM parts JOIN lens USING (label) GROUP BY 1)"""
+
+
+@query(f"""WITH {_CENTROIDS} SELECT topic, i - 1 AS i, round(centroid[i], 6) AS x FROM middles, range(1, 65) t(i)""")
+def topic_centroid(spark, d):
+    found = retrieve.centroids(vectors(spark, d)).select("topic", F.posexplode("centroid").alias("i", "x"))
+    return found.select("topic", F.col("i").cast("long").alias("i"), r6(F.col("x")).alias("x"))
+
+
+@query(f"""WITH {_CENTROIDS}, scored AS (SELECT q.vec_id AS query_id, topic, list_inner_product(centroid, q.embedding::DOUBLE[]) AS score FROM middles, (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q),
+best AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS top, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, topic) AS rn FROM scored)
+SELECT query_id, topic, round(score, 6) AS score, top < 0.2 OR (score >= top - 0.05 AND rn <= 5) AS chosen FROM best""")
+def route_topics(spark, d):
+    return retrieve.route(asked(spark, d), retrieve.centroids(vectors(spark, d))).withColumn("score", r6(F.col("score")))
+
+
+@query(f"""WITH {_CENTROIDS}, scored AS (SELECT q.vec_id AS query_id, q.label::VARCHAR AS truth, topic, list_inner_product(centroid, q.embedding::DOUBLE[]) AS score FROM middles, (SELECT * FROM embeddings WHERE vec_id % 10 = 0) q),
+best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, topic) AS rn FROM scored)
+SELECT count(*) AS n, round(avg((topic = truth)::INT), 6) AS accuracy FROM best WHERE rn = 1""")
+def routing_accuracy(spark, d):
+    probes = vectors(spark, d).where("id % 10 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("qv"), F.col("topic").alias("truth"))
+    routed = retrieve.route(probes.drop("truth"), retrieve.centroids(vectors(spark, d)), m=1)
+    top = keyword.best(routed, "score", 1, tie="topic").join(probes.select("query_id", "truth"), "query_id")
+    return top.agg(F.count("*").alias("n"), r6(F.avg((F.col("topic") == F.col("truth")).cast("int"))).alias("accuracy"))
+
+
+# --- keyword ---------------------------------------------------------------------------------------
+
+_STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
+_TERMS = f"list_filter(regexp_extract_all(lower({{}}), '[a-z0-9]+(?:[.''_-][a-z0-9]+)*%?'), lambda t: t NOT IN ({_STOP}))"
+
+
+def _bm25(topic: str) -> str:
+    return f"""tok AS (SELECT {topic} AS topic, doc_id AS id, {_TERMS.format('text')} AS ts FROM documents),
+post AS (SELECT topic, id, term, count(*) AS tf FROM (SELECT topic, id, unnest(ts) AS term FROM tok) GROUP BY 1, 2, 3),
+stat AS (SELECT topic, count(*) AS n, avg(len(ts)) AS avgdl FROM tok GROUP BY 1),
+df AS (SELECT topic, term, count(*) AS df FROM post GROUP BY 1, 2),
+q AS (SELECT DISTINCT item_id AS query_id, unnest({_TERMS.format('text')}) AS term FROM benchmark),
+bm AS (SELECT query_id, p.topic, p.id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(ts) / avgdl))), 9) AS bm
+    FROM q JOIN post p USING (term) JOIN df USING (topic, term) JOIN stat USING (topic) JOIN tok ON tok.id = p.id GROUP BY 1, 2, 3)"""
+
+
+@query(f"SELECT doc_id AS id, unnest({_TERMS.format('text')}) AS term FROM documents")
+def tokenize_terms(spark, d):
+    return texts(spark, d).select("id", F.explode(T.terms(F.col("text"))).alias("term"))
+
+
+@query(f"SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest({_TERMS.format('text')}) AS term FROM documents) GROUP BY 1")
+def term_df(spark, d):
+    return keyword.term_df(keyword.postings(one_topic(spark, d))).select("term", "df")
+
+
+@query(f"SELECT doc_id AS id, len({_TERMS.format('text')}) AS dl FROM documents")
+def doc_lengths(spark, d):
+    return keyword.doc_lengths(one_topic(spark, d)).select("id", "dl")
+
+
+@query(f"""WITH {_bm25("'all'")}, ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm DESC, id) AS rank FROM bm) SELECT query_id, rank, id, round(bm, 6) AS score FROM ranked WHERE rank <= 10""")
+def bm25_topk(spark, d):
+    chunks = one_topic(spark, d)
+    return _hits(keyword.best(keyword.bm25(keyword.postings(chunks), keyword.doc_lengths(chunks), questions(spark, d)), "bm", 10), "bm")
+
+
+@query(f"""WITH {_bm25("source")}, ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id, topic ORDER BY bm DESC, id) AS rank FROM bm) SELECT query_id, topic, rank, id, round(bm, 6) AS score FROM ranked WHERE rank <= 3""")
+def bm25_topk_per_topic(spark, d):
+    chunks = texts(spark, d)
+    found = keyword.best(keyword.bm25(keyword.postings(chunks), keyword.doc_lengths(chunks), questions(spark, d)), "bm", 3, by=("query_id", "topic"))
+    return found.select("query_id", "topic", "rank", "id", r6(F.col("bm")).alias("score"))
+
+
+# --- hybrid ------------------------------------------------------------------------------------------
+
+
+def _hybrid_parts(spark, d):
+    """Documents that have a vector; the question of item i uses vector 100 * i."""
+    vec = vectors(spark, d).select("id", "embedding", "kind")
+    chunks = one_topic(spark, d).join(vec, "id")
+    asking = questions(spark, d).join(vec.select((F.col("id") / 100).cast("long").alias("query_id"), F.col("embedding").alias("qv"), "id").where("id % 100 = 0").drop("id"), "query_id")
+    return asking, chunks
+
+
+def _hybrid(spark, d, **how):
+    asking, chunks = _hybrid_parts(spark, d)
+    found = retrieve.hybrid(asking, chunks, keyword.postings(chunks), keyword.doc_lengths(chunks), 5, min_score=0.05, **how)
+    return found.select("query_id", "rank", "id", r6(F.col("cos")).alias("cos"), r6(F.col("bm")).alias("bm"), r6(F.col("fused")).alias("fused"), "via")
+
+
+def _hybrid_sql(score: str, keep: str = "true") -> str:
+    pooled = _bm25("'all'").replace("FROM documents", "FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings)")
+    pooled = pooled.replace("FROM benchmark)", "FROM benchmark WHERE item_id * 100 IN (SELECT vec_id FROM embeddings))")
+    return f"""WITH {pooled},
+qs AS (SELECT item_id AS query_id, embedding AS qv FROM benchmark JOIN embeddings ON vec_id = item_id * 100),
+cs AS (SELECT query_id, vec_id AS id, {_DOT.format('embedding', 'qv')} AS cos FROM qs, embeddings WHERE vec_id IN (SELECT doc_id FROM documents)),
+dense AS (SELECT query_id, id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cos DESC, id) AS rn FROM cs WHERE cos >= 0.05) WHERE rn <= 20),
+kw AS (SELECT query_id, id, bm FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm DESC, id) AS rn FROM bm) WHERE rn <= 20),
+cand AS (SELECT query_id, id, cos, coalesce(bm, 0) AS bm, dense.id IS NOT NULL AS in_dense, kw.id IS NOT NULL AS in_kw
+    FROM cs LEFT JOIN dense USING (query_id, id) LEFT JOIN kw USING (query_id, id) WHERE dense.id IS NOT NULL OR kw.id IS NOT NULL),
+ext AS (SELECT *, min(cos) OVER w AS c0, max(cos) OVER w AS c1, min(bm) OVER w AS b0, max(bm) OVER w AS b1,
+    row_number() OVER (PARTITION BY query_id, in_dense ORDER BY cos DESC, id) AS rd, row_number() OVER (PARTITION BY query_id, in_kw ORDER BY bm DESC, id) AS rk FROM cand WINDOW w AS (PARTITION BY query_id)),
+f AS (SELECT *, {score} AS fused FROM ext WHERE {keep}),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, id) AS rank FROM f)
+SELECT query_id, rank, id, round(cos, 6) AS cos, round(bm, 6) AS bm, round(fused, 6) AS fused, CASE WHEN in_dense AND in_kw THEN 'both' WHEN in_dense THEN 'dense' ELSE 'keyword' END AS via FROM ranked WHERE rank <= 5"""
+
+
+_LINEAR = "0.5 * (CASE WHEN c1 - c0 < 1e-9 THEN 0.5 ELSE (cos - c0) / (c1 - c0) END) + 0.5 * (CASE WHEN b1 - b0 < 1e-9 THEN 0.5 ELSE (bm - b0) / (b1 - b0) END)"
+_RRF = "(CASE WHEN in_dense THEN 1.0::DOUBLE / (60 + rd) ELSE 0 END) + (CASE WHEN in_kw THEN 1.0::DOUBLE / (60 + rk) ELSE 0 END)"
+
+
+@query(_hybrid_sql(_LINEAR))
+def hybrid_linear(spark, d):
+    return _hybrid(spark, d)
+
+
+@query(_hybrid_sql(_RRF))
+def hybrid_rrf(spark, d):
+    return _hybrid(spark, d, fusion="rrf")
+
+
+@query(_hybrid_sql("cos"))
+def hybrid_dense_mode(spark, d):
+    return _hybrid(spark, d, mode="dense")
+
+
+@query(_hybrid_sql("bm", "in_kw"))
+def hybrid_keyword_mode(spark, d):
+    return _hybrid(spark, d, mode="keyword")
+
+
+@query(f"""WITH h AS ({_hybrid_sql(_LINEAR).replace('round(fused, 6)', 'fused')}), a AS (SELECT query_id, max(fused) FILTER (rank = 1) AS s1, max(fused) FILTER (rank = 2) AS s2, min(fused) AS sn, max(rank) AS n FROM h GROUP BY 1)
+SELECT query_id, CASE WHEN n < 2 THEN false WHEN s1 - sn <= 0 THEN true ELSE (s1 - s2) / (s1 - sn) < 0.25 END AS contested FROM a""")
+def should_rerank_flag(spark, d):
+    asking, chunks = _hybrid_parts(spark, d)
+    return retrieve.should_rerank(retrieve.hybrid(asking, chunks, keyword.postings(chunks), keyword.doc_lengths(chunks), 5, min_score=0.05), 0.25)
+
+
+@query(f"""WITH h AS ({_hybrid_sql(_LINEAR).replace('round(cos, 6)', 'cos')}) SELECT query_id, coalesce(cos < 0.3, true) AS refused FROM h WHERE rank = 1""")
+def refuse_below(spark, d):
+    asking, chunks = _hybrid_parts(spark, d)
+    return retrieve.refused(retrieve.hybrid(asking, chunks, keyword.postings(chunks), keyword.doc_lengths(chunks), 5, min_score=0.05), 0.3)
+
+
+@query(f"""WITH {_bm25("'all'")}, ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm DESC, id) AS rank FROM bm), pool AS (SELECT * FROM ranked WHERE rank <= 20),
+s AS (SELECT query_id, id, rank AS before, list_distinct({_TERMS.format('b.text')}) AS q, {_TERMS.format('d.text')} AS t FROM pool JOIN documents d ON d.doc_id = id JOIN benchmark b ON b.item_id = query_id),
+v AS (SELECT query_id, id, before, CASE WHEN len(q) = 0 THEN 0 ELSE len(list_intersect(q, t))::DOUBLE / len(q) END AS s FROM s)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, before) AS rank, id, round(s, 4) AS rerank FROM v QUALIFY rank <= 5""")
+def overlap_rerank(spark, d):
+    chunks = one_topic(spark, d)
+    pool = keyword.best(keyword.bm25(keyword.postings(chunks), keyword.doc_lengths(chunks), questions(spark, d)), "bm", 20)
+    rows = pool.join(chunks.select("id", "text"), "id").join(questions(spark, d).select("query_id", F.col("text").alias("q")), "query_id")
+    return retrieve.rerank(rows, 5, T.overlap_score(F.col("q"), F.col("text"))).select("query_id", "rank", "id", "rerank")
+
+
+@query(f"""WITH {_bm25("'all'")}, ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm DESC, id) AS rank FROM bm),
+m AS (SELECT b.item_id, min(CASE WHEN contains(lower(d.text), lower(b.text)) THEN rank END) AS r FROM benchmark b LEFT JOIN ranked ON query_id = b.item_id AND rank <= 5 LEFT JOIN documents d ON d.doc_id = id GROUP BY 1)
+SELECT count(*) AS n, round(avg((r IS NOT DISTINCT FROM 1)::INT), 6) AS hit1, round(avg((r IS NOT NULL)::INT), 6) AS hitk, round(avg(coalesce(1.0::DOUBLE / r, 0)), 6) AS mrr FROM m""")
+def eval_metrics(spark, d):
+    chunks = one_topic(spark, d)
+    found = keyword.best(keyword.bm25(keyword.postings(chunks), keyword.doc_lengths(chunks), questions(spark, d)), "bm", 5)
+    hits = found.join(chunks.select("id", "text"), "id").withColumn("doc", F.lit("-"))
+    report = retrieve.evaluate(hits.withColumn("id", F.lit("-")), questions(spark, d).withColumnRenamed("text", "expect"), 5)
+    return report.select("n", *(r6(F.col(c)).alias(c) for c in ("hit1", "hitk", "mrr")))
+
+
+# --- chunking ------------------------------------------------------------------------------------------
+
+
+def _markdown(spark, d):
+    return texts(spark, d).select(F.col("id").alias("doc"), F.concat(F.lit("# "), F.col("topic"), F.lit("\n\n"), F.regexp_replace("text", "\n", "\n\n")).alias("text"))
+
+
+@query()
+def chunk_headings_overlap(spark, d):
+    return chunk.chunk_text(_markdown(spark, d))
+
+
+@query()
+def chunk_paragraphs(spark, d):
+    return chunk.chunk_paragraphs(_markdown(spark, d))
+
+
+_W = r"list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')"
+
+
+@query(f"""WITH w AS (SELECT doc_id AS id, {_W} AS ws FROM documents)
+SELECT id, i, array_to_string(ws[i * 350 + 1 : i * 350 + 400], ' ') AS win FROM w, range(0, 1000) t(i) WHERE len(ws) > 0 AND (i = 0 OR (i - 1) * 350 + 400 < len(ws))""")
+def sliding_windows(spark, d):
+    found = texts(spark, d).select("id", F.posexplode(chunk.windows(F.col("text"))).alias("i", "w"))
+    return found.select("id", F.col("i").cast("long").alias("i"), F.regexp_replace("w", r"\s+", " ").alias("win"))
+
+
+@query(f"SELECT doc_id AS id, len({_W}) AS n FROM documents")
+def token_count(spark, d):
+    return texts(spark, d).select("id", T.word_count(F.col("text")).alias("n"))
+
+
+# --- store -----------------------------------------------------------------------------------------------
+
+_OLD = "SELECT doc_id, text, source FROM documents WHERE doc_id % 3 <> 0"
+_NEW = "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN text || ' changed' ELSE text END AS text, source FROM documents WHERE doc_id % 2 = 0"
+
+
+def _old_and_new(spark, d):
+    docs = texts(spark, d).select(F.col("id").cast("string").alias("id"), F.col("topic").alias("doc"), "text", F.col("id").alias("n"))
+    old = docs.where("n % 3 <> 0").select("id", "doc", "text", T.content_hash(F.col("text")).alias("hash"), F.lit("old").alias("meta"), F.lit(0.0).alias("ts"), F.lit(False).alias("deleted"), F.lit(None).cast("array<float>").alias("embedding"))
+    new = docs.where("n % 2 = 0").select("id", "doc", F.when(F.col("n") % 5 == 0, F.concat("text", F.lit(" changed"))).otherwise(F.col("text")).alias("text"), F.lit("new").alias("meta"))
+    return old, new
+
+
+@query(f"""WITH o AS ({_OLD}), n AS ({_NEW}) SELECT CASE WHEN o.doc_id IS NULL THEN 'added' WHEN o.text = n.text THEN 'skipped' ELSE 'updated' END AS action, count(*) AS n FROM n LEFT JOIN o USING (doc_id) GROUP BY 1""")
+def content_hash_upsert(spark, d):
+    return store.actions(*_old_and_new(spark, d)).groupBy("action").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH o AS ({_OLD}), n AS ({_NEW}) SELECT coalesce(n.doc_id, o.doc_id)::VARCHAR AS id, left(sha1(coalesce(n.text, o.text)), 16) AS hash, CASE WHEN n.doc_id IS NULL THEN 'old' ELSE 'new' END AS meta FROM o FULL JOIN n USING (doc_id)""")
+def upsert_merge(spark, d):
+    return store.merged(*_old_and_new(spark, d)).select("id", "hash", "meta")
+
+
+@query(f"""WITH o AS ({_OLD}), n AS ({_NEW}) SELECT doc_id::VARCHAR AS id FROM o WHERE source IN (SELECT source FROM n) AND doc_id NOT IN (SELECT doc_id FROM n)""")
+def stale_rows(spark, d):
+    return store.stale(*_old_and_new(spark, d)).select("id")
+
+
+@query(f"""WITH o AS ({_OLD}) SELECT count(*) AS items, count(*) FILTER (doc_id % 10 <> 1) AS open, count(*) FILTER (doc_id % 10 = 1) AS tombstones FROM o""")
+def tombstones(spark, d):
+    old, _ = _old_and_new(spark, d)
+    return store.stats(store.removed(old, old.where("cast(id as long) % 10 = 1").select("id")))
+
+
+@query("SELECT source AS topic, count(*) AS chunks, count(DISTINCT text) AS docs FROM documents GROUP BY 1")
+def catalog_counts(spark, d):
+    return texts(spark, d).groupBy("topic").agg(F.count("*").alias("chunks"), F.count_distinct("text").alias("docs"))
+
+
+# --- sessions ----------------------------------------------------------------------------------------------
+
+
+def _turns(spark, d):
+    return table(spark, d, "conversations").select(F.col("conv_id").alias("session"), "turn", "role", "text")
+
+
+@query("SELECT conv_id AS session, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS b FROM conversations) WHERE b <= 3")
+def session_history(spark, d):
+    return sessions.history(_turns(spark, d), 3).select("session", "turn", "role")
+
+
+@query("SELECT conv_id AS session, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS transcript FROM conversations GROUP BY 1")
+def transcript(spark, d):
+    return sessions.transcript(_turns(spark, d))
+
+
+@query("SELECT conv_id AS session, turn, lpad(row_number() OVER (PARTITION BY conv_id ORDER BY turn)::VARCHAR, 5, '0') || '-' || role AS name FROM conversations")
+def turn_numbering(spark, d):
+    return sessions.numbered(_turns(spark, d)).select("session", "turn", "name")
+
+
+@query(rf"""WITH h AS (SELECT conv_id AS query_id, turn + 1 AS rank, role AS doc, text, {_W} AS w FROM conversations), u AS (SELECT *, coalesce(sum(len(w)) OVER (PARTITION BY query_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM h)
+SELECT query_id, string_agg('[' || rank || '] (' || doc || ', score 1.00)' || chr(10) || CASE WHEN len(w) <= 120 - used THEN text ELSE array_to_string(w[1 : (120 - used)::INT], ' ') || ' …' END, chr(10) || chr(10) ORDER BY rank) AS context FROM u WHERE used < 120 GROUP BY 1""")
+def context_block(spark, d):
+    hits = _turns(spark, d).select(F.col("session").alias("query_id"), (F.col("turn") + 1).alias("rank"), F.col("role").alias("doc"), F.lit(1.0).alias("score"), "text")
+    return sessions.context(hits, 120)
+
+
+@query("SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS n FROM events) WHERE n <= 3")
+def recent_per_group(spark, d):
+    rows = table(spark, d, "events").select("user_id", F.col("event_id"), F.col("ts"))
+    return keyword.best(rows, "ts", 3, by=("user_id",), tie="event_id").select("user_id", "event_id")
+
+
+@query("SELECT conv_id AS session, arg_min(role, turn) AS role FROM conversations GROUP BY 1")
+def first_chunk(spark, d):
+    return _turns(spark, d).groupBy("session").agg(F.min_by("role", "turn").alias("role"))
+
+
+# --- graph ----------------------------------------------------------------------------------------------------
+
+
+def _edges(spark, d):
+    """Suppliers and parts of large line items: weights are quantities as shares of fifty."""
+    rows = table(spark, d, "lineitem").where("l_quantity >= 49")
+    return rows.select(F.concat(F.lit("s"), F.col("l_suppkey")).alias("src"), F.concat(F.lit("p"), F.col("l_partkey")).alias("dst"), F.lower("l_returnflag").alias("relation"), (F.col("l_quantity") / 50.0).cast("double").alias("weight"), F.lit(None).cast("string").alias("source"))
+
+
+_E = "e AS (SELECT 's' || l_suppkey AS src, 'p' || l_partkey AS dst, lower(l_returnflag) AS relation, (l_quantity / 50.0)::DOUBLE AS weight FROM lineitem WHERE l_quantity >= 49), mv AS (SELECT src AS here, dst AS other, relation, weight FROM e UNION ALL SELECT dst, src, relation, weight FROM e)"
+
+
+@query(f"""WITH {_E}, st AS (SELECT DISTINCT src AS start FROM e WHERE src IN ('s1', 's2', 's3')),
+h1 AS (SELECT start, other AS node, relation, max(weight) AS weight FROM st JOIN mv ON here = start WHERE other <> start GROUP BY 1, 2, 3),
+h2 AS (SELECT f.start, other AS node, mv.relation, max(mv.weight) AS weight FROM (SELECT DISTINCT start, node FROM h1) f JOIN mv ON here = f.node WHERE other <> f.start AND NOT EXISTS (SELECT 1 FROM h1 x WHERE x.start = f.start AND x.node = other) GROUP BY 1, 2, 3)
+SELECT *, 1::BIGINT AS hops FROM h1 UNION ALL SELECT *, 2::BIGINT FROM h2""")
+def bfs_neighbours(spark, d):
+    edges = _edges(spark, d)
+    return graph.neighbours(edges, edges.where("src in ('s1', 's2', 's3')").select(F.col("src").alias("start")), depth=2)
+
+
+@query(f"""WITH {_E}, docs AS (SELECT DISTINCT src AS doc FROM e WHERE src IN ('s1', 's2', 's3', 's4', 's5')),
+f AS (SELECT doc, other AS node, relation AS r1, weight AS w1 FROM mv JOIN docs ON here = doc WHERE other NOT IN (SELECT doc FROM docs))
+SELECT f.doc, mv.other, r1 || '→' || f.node || '→' || mv.relation AS relation, round(0.5 * w1 * mv.weight, 6) AS weight FROM f JOIN mv ON mv.here = f.node JOIN docs d2 ON d2.doc = mv.other WHERE mv.other <> f.doc""")
+def entity_bridges(spark, d):
+    edges = _edges(spark, d)
+    docs = edges.where("src in ('s1', 's2', 's3', 's4', 's5')").select(F.col("src").alias("doc"))
+    return graph.bridges(edges, docs).withColumn("weight", r6(F.col("weight")))
+
+
+@query(f"""WITH {_PAIRS}, near AS (SELECT query_id AS doc, id AS other, 0.6 * greatest(cos, 0) AS s, 0 AS g FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cos DESC, id) AS rn FROM pairs WHERE id <> query_id) WHERE rn <= 20),
+links AS (SELECT q.vec_id AS doc, e.vec_id AS other, 0.4 * 0.5 AS s, 1 AS g FROM embeddings q JOIN embeddings e ON e.label = q.label AND e.vec_id <> q.vec_id AND e.vec_id % 50 = 0 WHERE q.vec_id % 100 = 0),
+a AS (SELECT doc, other, sum(s) AS related, max(g) AS g FROM (SELECT * FROM near UNION ALL SELECT * FROM links) GROUP BY 1, 2)
+SELECT doc, other, round(related, 6) AS related, CASE WHEN g = 1 THEN 'graph' ELSE 'vector' END AS via, row_number() OVER (PARTITION BY doc ORDER BY related DESC, other) AS rank FROM a QUALIFY rank <= 5""")
+def related_blend(spark, d):
+    near = retrieve.dense_topk(asked(spark, d), vectors(spark, d), 20, exclude_self=True).select(F.col("query_id").alias("doc"), F.col("id").alias("other"), "cos")
+    v = vectors(spark, d)
+    left = v.where("id % 100 = 0").select(F.col("id").alias("doc"), "topic")
+    right = v.where("id % 50 = 0").select(F.col("id").alias("other"), "topic")
+    paths = left.join(right, "topic").where("doc <> other").select("doc", "other", F.lit(0.5).alias("weight"))
+    return graph.related(near, paths).withColumn("related", r6(F.col("related")))
+
+
+# --- entities, tags, names --------------------------------------------------------------------------------------
+
+
+@query(r"""SELECT entity, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[A-Z][a-z]{5,}')) AS entity FROM documents) GROUP BY 1 HAVING count(*) >= 2""")
+def entity_counts(spark, d):
+    found = texts(spark, d).select("id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Z][a-z]{5,}"), F.lit(0)))).alias("entity"))
+    return found.groupBy("entity").agg(F.count("*").alias("n")).where("n >= 2")
+
+
+@query(r"""SELECT doc_id AS id, trim(regexp_replace(lower(trim(text[1:80])), '[^a-z0-9._-]+', '-', 'g'), '-._') AS slug FROM documents""")
+def slugify(spark, d):
+    return texts(spark, d).select("id", F.coalesce(T.topic_slug(F.substring("text", 1, 80)), F.lit("")).alias("slug"))
+
+
+@query(r"""SELECT conv_id, turn, list_filter(list_distinct(list_transform(regexp_extract_all(text || ' [1] and [n2], not [9]', '\[n?\s*(\d+)\]', 1), lambda n: n::BIGINT)), lambda n: n BETWEEN 1 AND 3).list_sort() AS cited FROM conversations""")
+def citation_filter(spark, d):
+    rows = table(spark, d, "conversations")
+    return rows.select("conv_id", "turn", F.array_sort(T.cited(F.concat("text", F.lit(" [1] and [n2], not [9]")), F.lit(3))).alias("cited"))
+
+
+@query("""WITH e AS (SELECT doc_id AS id, sha256(text) AS h1 FROM documents), b AS (SELECT id, h1 || sha256(unhex(h1)) AS h FROM e),
+v AS (SELECT id, i, (('0x' || h[i * 2 + 1 : i * 2 + 2])::INT - 127.5) / 127.5 AS x FROM b, range(0, 64) t(i)) SELECT id, i, round((x / sqrt(sum(x * x) OVER (PARTITION BY id)))::DOUBLE, 6) AS x FROM v""")
+def hashed_embedding(spark, d):
+    found = texts(spark, d).select("id", F.posexplode(V.hashed_embedding(F.col("text"), 64)).alias("i", "x"))
+    return found.select("id", F.col("i").cast("long").alias("i"), r6(F.col("x")).alias("x"))
+
+
+# --- streaming and SQL -----------------------------------------------------------------------------------------------
+
+
+@query("SELECT event_type AS action, count(*) AS n FROM events GROUP BY 1")
+def stream_counts(spark, d):
+    """A stream over the events, aggregated by type, drained into a table."""
+    import uuid
+
+    from quillmark.plans.storage import shared_dir
+
+    where = f"{shared_dir(spark)}/quillmark/stream-{uuid.uuid4().hex}"
+    rows = spark.readStream.schema(table(spark, d, "events").schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet*")
+    run = rows.select("event_type", "event_id").writeStream.format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.parquet(f"{where}/out").groupBy(F.col("event_type").alias("action")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT l_returnflag, l_linestatus, sum(l_quantity)::DOUBLE AS sum_qty, round(sum(l_extendedprice * (1 - l_discount))::DOUBLE, 2) AS revenue, count(*) AS n FROM lineitem GROUP BY 1, 2""")
+def relational_summary(spark, d):
+    rows = table(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus")
+    return rows.agg(F.sum("l_quantity").cast("double").alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).cast("double"), 2).alias("revenue"), F.count("*").alias("n"))
+
+
+FLAGSHIP = hybrid_linear
