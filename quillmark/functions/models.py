@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import urllib.request
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -12,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quillmark.functions.text import overlap_score
-from quillmark.functions.vector import hashed_embedding, unit
+from quillmark.functions.vector import hashed_embedding
 
 KNOWN_DIMS = {"nomic-embed-text": 768, "mxbai-embed-large": 1024, "all-minilm": 384}
 
@@ -51,6 +52,11 @@ def checked(vectors: list, count: int, dim: int) -> list[list[float]]:
     return vectors
 
 
+def _unit(v: list[float]) -> list[float]:
+    length = math.sqrt(sum(x * x for x in v))
+    return [x / length for x in v] if length else v
+
+
 def http(model: str, dim: int | None = None, url: str = "http://localhost:11434", timeout: float = 60.0, batch: int = 16, post=_post) -> Embedder:
     """An embedding server; texts go in requests of ``batch``. Replies are checked for number and dimension."""
     size = dim or KNOWN_DIMS[model]
@@ -63,9 +69,9 @@ def http(model: str, dim: int | None = None, url: str = "http://localhost:11434"
                 some = texts[at : at + batch].tolist()
                 reply = post(f"{url}/api/embed", {"model": model, "input": some}, timeout)
                 out += checked(reply.get("embeddings") or [reply.get("embedding")], len(some), size)
-            yield pd.Series(out)
+            yield pd.Series([_unit(v) for v in out])
 
-    return Embedder(f"{model}", size, lambda text: unit(embed(text)))
+    return Embedder(f"{model}", size, lambda text: embed(text))
 
 
 def embedder(spec: str) -> Embedder:

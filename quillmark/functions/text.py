@@ -56,7 +56,7 @@ def terms(text: Column) -> Column:
 def wikilinks(text: Column) -> Column:
     """Targets of [[links]] in order, each once; headings and aliases are cut off, escaped links don't count."""
     found = F.regexp_extract_all(text, F.lit(r"(?<!\\)\[\[([^\]\[|#]+)(?:#[^\]\[|]*)?(?:\|[^\]\[]*)?\]\]"), F.lit(1))
-    return F.array_distinct(F.filter(F.transform(found, F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(found, lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def inline_tags(text: Column) -> Column:
@@ -137,7 +137,7 @@ def extraction(reply: Column) -> Column:
     Entities are deduplicated without regard to case, the first spelling stays. A relation needs three parts.
     """
     parsed = F.from_json(F.regexp_extract(reply, r"(?s)(\{.*\})", 1), EXTRACTION)
-    named = F.filter(F.transform(F.coalesce(parsed["entities"], F.array().cast("array<string>")), F.trim), lambda e: e != "")
+    named = F.filter(F.transform(F.coalesce(parsed["entities"], F.array().cast("array<string>")), lambda x: F.trim(x)), lambda e: e != "")
     once = F.aggregate(
         named,
         F.array().cast("array<string>"),

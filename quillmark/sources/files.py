@@ -15,7 +15,7 @@ def text_folder(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", SUFFIXES).load(path)
     root = path.removeprefix("file://").rstrip("/") + "/"
     rel = F.substring_index(F.col("path"), root, -1)
-    text = F.try_validate_utf8(F.decode("content", "UTF-8"))
+    text = F.try_validate_utf8(F.col("content").cast("string"))
     return files.select(rel.alias("doc"), text.alias("text")).where(~F.col("doc").rlike(r"(^|/)\.") & F.col("text").isNotNull())
 
 
@@ -37,7 +37,7 @@ def yaml_value(block: Column, key: str) -> Column:
 def yaml_list(block: Column, key: str) -> Column:
     """A YAML list in flow or block style, comma separated."""
     lines = F.regexp_extract(block, rf"(?md)^{key}:[ \t]*\n((?:[ \t]*-[ \t]+.*\n?)+)", 1)
-    items = F.array_join(F.transform(F.regexp_extract_all(lines, F.lit(r"-[ \t]+(.*)"), F.lit(1)), F.trim), ",")
+    items = F.array_join(F.transform(F.regexp_extract_all(lines, F.lit(r"-[ \t]+(.*)"), F.lit(1)), lambda x: F.trim(x)), ",")
     return F.coalesce(F.nullif(items, F.lit("")), yaml_value(block, key))
 
 

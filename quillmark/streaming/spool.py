@@ -12,12 +12,12 @@ ENTRY = f"op string, path string, chunks array<{CHUNK}>, _corrupt_record string"
 
 
 def spool_stream(spark: SparkSession, folder: str, files_per_batch: int = 100, clean: str = "off", archive: str | None = None) -> DataFrame:
-    """Entries of the folder's JSON files as a stream, with file name and place in it. Consumed files may be archived."""
+    """Entries of the folder's JSON files as a stream, with the file's name and the place of the part that was read. Consumed files may be archived."""
     reader = spark.readStream.schema(ENTRY).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record")
     reader = reader.option("maxFilesPerTrigger", files_per_batch).option("cleanSource", clean)
     if archive:
         reader = reader.option("sourceArchiveDir", archive)
-    return reader.json(folder).select("*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("line"))
+    return reader.json(folder).select("*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("at"))
 
 
 def valid(entries: DataFrame) -> DataFrame:
@@ -32,8 +32,9 @@ def poison(entries: DataFrame) -> DataFrame:
 
 def latest(entries: DataFrame) -> DataFrame:
     """The last entry of each path, in order of file name and place: earlier ones of a batch have no effect."""
-    order = Window.partitionBy("path").orderBy(F.col("file").desc(), F.col("line").desc())
-    return entries.withColumn("n", F.row_number().over(order)).where("n = 1").drop("n")
+    order = Window.partitionBy("path").orderBy(F.col("file").desc(), F.col("at").desc(), F.col("line").desc())
+    placed = entries.withColumn("line", F.monotonically_increasing_id())
+    return placed.withColumn("n", F.row_number().over(order)).where("n = 1").drop("n", "line")
 
 
 def applied(table: DataFrame, entries: DataFrame) -> DataFrame:
