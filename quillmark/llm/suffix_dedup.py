@@ -244,6 +244,7 @@ def _sorted_groups(contexts: DataFrame) -> DataFrame:
     """``doc_id, start, count``: runs of window starts that the suffix order shows to be repeats."""
 
     def group(rows: list[tuple]) -> Iterator[tuple[int, int, int]]:
+        rows = [r for k, r in enumerate(rows) if not k or r[1:3] != rows[k - 1][1:3]]  # rows that repeat a doc_id
         if len(rows) < 2:
             return
         for (_, doc_id, start, *_), starts in zip(rows, repeated_windows([(r[5], r[3], r[4]) for r in rows])):
@@ -309,7 +310,7 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     anchors = _anchors(docs)
     by_key = Window.partitionBy("key")
     several = anchors.withColumn("m", F.count("*").over(by_key)).where("m > 1")
-    rank = F.row_number().over(Window.partitionBy("key", "context").orderBy("doc_id", "at"))
+    rank = F.rank().over(Window.partitionBy("key", "context").orderBy("doc_id", "at"))
     marked = several.withColumn("gone", rank > 1).withColumns({"lo": F.min("context").over(by_key), "hi": F.max("context").over(by_key)})
     marked = materialize(marked.where("gone or lo <> hi").select("key", "doc_id", "at", "gone"), "anchors")
     open_ = marked.where("not gone").select("key", "doc_id", "at")
@@ -329,4 +330,4 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("sha"))
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
-    return base.join(cut, "doc_id", "left").select("doc_id", "n_bytes", zero("n_removed"), zero("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"))
+    return base.join(cut.dropDuplicates(["doc_id"]), "doc_id", "left").select("doc_id", "n_bytes", zero("n_removed"), zero("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"))
