@@ -365,3 +365,21 @@ def format_conversations(rows: DataFrame, template: str = TEMPLATE) -> DataFrame
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], [c.split()[0] for c in SCHEMA.split(", ")])
+
+
+def _sql_escaped(text: str) -> str:
+    out = f"replace({text}, '\\', '\\\\')"
+    for c in CONTROLS:
+        out = f"replace({out}, '{c}', '{c[0]}\\{c[1:]}')"
+    return out
+
+
+#: The same digests without a template: what went in, in order, and the lengths of the escaped parts.
+SQL = f"""
+WITH extra AS (SELECT -1 AS conv_id, 0 AS turn, 'user' AS role, '</s>[INST] ok [/INST]' AS text UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+rows AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM (SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT * FROM extra))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+    coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    sum(24 + length(replace({_sql_escaped("role")}, chr(10), '\\n')) + length({_sql_escaped("text")}))::BIGINT AS formatted_chars
+FROM rows GROUP BY conv_id
+"""

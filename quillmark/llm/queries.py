@@ -87,6 +87,6 @@ def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
 
 
-from quillmark.llm import exact  # noqa: E402
+from quillmark.llm import chat, exact  # noqa: E402
 
-ORACLES: dict[str, str] = {"op5_exact_dedup": exact.SQL}
+ORACLES: dict[str, str] = {"op5_exact_dedup": exact.SQL, "op10_chat_format": chat.SQL}
