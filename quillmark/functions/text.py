@@ -9,7 +9,7 @@ STOP_WORDS = tuple(
     "a an and are as at be by did do does for from has have how i in is it its no not of on or"
     " that the they this to was we were what when where which who will with you".split()
 )
-TERM = r"[a-z0-9]+(?:[.'_-][a-z0-9]+)*%?"
+TERM = r"[0-9a-z]+(?:[-_.'][0-9a-z]+)*%?"
 HEADING = r"(?md)(?=^#{1,6}[ \t]+\S)"
 H2 = r"(?md)(?=^## )"
 BLANKS = r"(?U)\s+"
@@ -27,14 +27,14 @@ def auto_name(text: Column) -> Column:
 
 def topic_slug(name: Column) -> Column:
     """Lower case, runs of other characters to one dash, none at the ends; null if nothing is left."""
-    bare = F.regexp_replace(F.lower(F.trim(name)), r"[^a-z0-9._-]+", "-")
+    bare = F.regexp_replace(F.lower(F.trim(name)), r"[^0-9a-z_.-]+", "-")
     return F.nullif(F.regexp_replace(bare, r"^[-_.]+|[-_.]+$", ""), F.lit(""))
 
 
 def note_slug(title: Column, text: Column) -> Column:
     """A file name of at most 60 characters from the title, else from the text's first six words."""
     source = F.coalesce(F.nullif(F.trim(title), F.lit("")), F.array_join(F.slice(words(text), 1, 6), " "))
-    bare = F.regexp_replace(F.regexp_replace(F.lower(source), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+    bare = F.regexp_replace(F.regexp_replace(F.lower(source), "[^0-9a-z]+", "-"), "^-+|-+$", "")
     return F.coalesce(F.nullif(F.substring(bare, 1, 60), F.lit("")), F.lit("note"))
 
 
@@ -62,7 +62,7 @@ def wikilinks(text: Column) -> Column:
 def inline_tags(text: Column) -> Column:
     """#tags outside of fenced code, each once."""
     plain = F.regexp_replace(text, r"(?s)```.*?(```|\z)", " ")
-    return F.array_distinct(F.regexp_extract_all(plain, F.lit(r"(?<![\w/#&])#([A-Za-z][\w/-]*)"), F.lit(1)))
+    return F.array_distinct(F.regexp_extract_all(plain, F.lit(r"(?<![#&/\w])#([a-zA-Z][-/\w]*)"), F.lit(1)))
 
 
 def coerce_tags(tags: Column) -> Column:
@@ -107,14 +107,14 @@ def is_vault_note(path: Column) -> Column:
 
 def cited(text: Column, hits: Column) -> Column:
     """Numbers of [n] citations that exist, in order, each once."""
-    found = F.transform(F.regexp_extract_all(text, F.lit(r"\[n?\s*(\d+)\]"), F.lit(1)), lambda n: n.cast("long"))
+    found = F.transform(F.regexp_extract_all(text, F.lit(r"\[n?\s*([0-9]+)\]"), F.lit(1)), lambda n: n.cast("long"))
     return F.array_distinct(F.filter(found, lambda n: (n >= 1) & (n <= hits)))
 
 
 def citations_checked(text: Column, hits: Column) -> Column:
     """The text without citations of hits that don't exist; runs of blanks become one."""
-    pieces = F.split(text, r"(?=\[n?\s*\d+\])|(?<=\])")
-    kept = F.filter(pieces, lambda p: ~p.rlike(r"^\[n?\s*\d+\]$") | F.regexp_extract(p, r"(\d+)", 1).cast("long").between(F.lit(1), hits))
+    pieces = F.split(text, r"(?=\[n?\s*[0-9]+\])|(?<=\])")
+    kept = F.filter(pieces, lambda p: ~p.rlike(r"^\[n?\s*[0-9]+\]$") | F.regexp_extract(p, r"(\d+)", 1).cast("long").between(F.lit(1), hits))
     return F.trim(F.regexp_replace(F.regexp_replace(F.array_join(kept, ""), r"[ \t]+", " "), r" ([.,;:!?])", "$1"))
 
 
@@ -125,7 +125,7 @@ def rewritten(reply: Column, question: Column) -> Column:
 
 
 def relation_name(name: Column) -> Column:
-    return F.regexp_replace(F.lower(F.trim(name)), "[^a-z0-9_]+", "_")
+    return F.regexp_replace(F.lower(F.trim(name)), "[^0-9_a-z]+", "_")
 
 
 EXTRACTION = "struct<entities:array<string>,relations:array<array<string>>>"

@@ -20,7 +20,7 @@ CHUNKS = "id string, topic string, doc string, idx long, heading string, text st
 
 
 def slug(name: str) -> str:
-    found = re.sub(r"[^a-z0-9._-]+", "-", name.strip().lower()).strip("-_.")
+    found = re.sub(r"[^0-9a-z_.-]+", "-", name.strip().lower()).strip("-_.")
     if not found:
         raise ValueError("a topic's name needs a letter or digit")
     return found

@@ -169,7 +169,7 @@ def routing_accuracy(spark, d):
 # --- keyword ---------------------------------------------------------------------------------------
 
 _STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
-_TERMS = f"list_filter(regexp_extract_all(lower({{}}), '[a-z0-9]+(?:[.''_-][a-z0-9]+)*%?'), lambda t: t NOT IN ({_STOP}))"
+_TERMS = f"list_filter(regexp_extract_all(lower({{}}), '[0-9a-z]+(?:[-_.''][0-9a-z]+)*%?'), lambda t: t NOT IN ({_STOP}))"
 
 
 def _bm25(topic: str) -> str:
@@ -337,12 +337,12 @@ def token_count(spark, d):
 
 # --- store -----------------------------------------------------------------------------------------------
 
-_OLD = "SELECT doc_id, text, source FROM documents WHERE doc_id % 3 <> 0"
-_NEW = "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN text || ' changed' ELSE text END AS text, source FROM documents WHERE doc_id % 2 = 0"
+_OLD = "SELECT doc_id, text, lang AS source FROM documents WHERE doc_id % 3 <> 0"
+_NEW = "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN text || ' changed' ELSE text END AS text, lang AS source FROM documents WHERE doc_id % 2 = 0"
 
 
 def _old_and_new(spark, d):
-    docs = texts(spark, d).select(F.col("id").cast("string").alias("id"), F.col("topic").alias("doc"), "text", F.col("id").alias("n"))
+    docs = texts(spark, d, "lang").select(F.col("id").cast("string").alias("id"), F.col("topic").alias("doc"), "text", F.col("id").alias("n"))
     old = docs.where("n % 3 <> 0").select("id", "doc", "text", T.content_hash(F.col("text")).alias("hash"), F.lit("old").alias("meta"), F.lit(0.0).alias("ts"), F.lit(False).alias("deleted"), F.lit(None).cast("array<float>").alias("embedding"))
     new = docs.where("n % 2 = 0").select("id", "doc", F.when(F.col("n") % 5 == 0, F.concat("text", F.lit(" changed"))).otherwise(F.col("text")).alias("text"), F.lit("new").alias("meta"))
     return old, new
@@ -466,12 +466,12 @@ def entity_counts(spark, d):
     return found.groupBy("entity").agg(F.count("*").alias("n")).where("n >= 2")
 
 
-@query(r"""SELECT doc_id AS id, trim(regexp_replace(lower(trim(text[1:80])), '[^a-z0-9._-]+', '-', 'g'), '-._') AS slug FROM documents""")
+@query(r"""SELECT doc_id AS id, trim(regexp_replace(lower(trim(text[1:80])), '[^0-9a-z_.-]+', '-', 'g'), '-._') AS slug FROM documents""")
 def slugify(spark, d):
     return texts(spark, d).select("id", F.coalesce(T.topic_slug(F.substring("text", 1, 80)), F.lit("")).alias("slug"))
 
 
-@query(r"""SELECT conv_id, turn, list_filter(list_distinct(list_transform(regexp_extract_all(text || ' [1] and [n2], not [9]', '\[n?\s*(\d+)\]', 1), lambda n: n::BIGINT)), lambda n: n BETWEEN 1 AND 3).list_sort() AS cited FROM conversations""")
+@query(r"""SELECT conv_id, turn, list_filter(list_distinct(list_transform(regexp_extract_all(text || ' [1] and [n2], not [9]', '\[n?\s*([0-9]+)\]', 1), lambda n: n::BIGINT)), lambda n: n BETWEEN 1 AND 3).list_sort() AS cited FROM conversations""")
 def citation_filter(spark, d):
     rows = table(spark, d, "conversations")
     return rows.select("conv_id", "turn", F.array_sort(T.cited(F.concat("text", F.lit(" [1] and [n2], not [9]")), F.lit(3))).alias("cited"))
