@@ -39,7 +39,7 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(TEXT_BATCH_ROWS))
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table | None], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table | None], schema) -> DataFrame:
     """``mapInArrow`` with a function of one batch; ``fn`` may return a batch, a table or None."""
     small_batches(df.sparkSession)
 
@@ -54,6 +54,16 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | p
     return df.mapInArrow(run, schema)
 
 
+def filter_texts(docs: DataFrame, keep: Callable[[list], np.ndarray]) -> DataFrame:
+    """``docs``, all columns, without the rows whose text ``keep`` turns down: one pass, no shuffle."""
+    at = docs.columns.index("text")
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.filter(pa.array(keep(batch.column(at).to_pylist()), pa.bool_()))
+
+    return map_batches(docs, run, docs.schema)
+
+
 def crc_fold(col: str, modulus: int):
     """crc32 of the id as text, modulo ``modulus`` (the split that decides what may be learned from)."""
     return F.crc32(F.col(col).cast("string").cast("binary")) % F.lit(modulus)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import map_batches, mix64, word_hashes
+from quillmark.llm.common import filter_texts, map_batches, mix64, word_hashes
 
 #: Five chosen tokens each; the gaps are the positions that a substitution may take.
 MASKS = ((0, 1, 2, 3, 4), (0, 1, 3, 5, 6), (0, 2, 3, 6, 8), (0, 1, 4, 6, 9), (0, 3, 4, 5, 9), (0, 2, 5, 6, 7))
@@ -139,8 +139,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     parts = []
     for rows in _blocks(benchmark):
-        items = sorted((r["item_id"], (r["text"]).encode()) for r in rows.collect())  # bounded: a block
-        held = spark.sparkContext.broadcast(items)
+        held = _held(spark, rows)
 
         def run(batch: pa.RecordBatch, held=held, memo={}) -> pa.RecordBatch:  # noqa: B006
             if "block" not in memo:
@@ -165,6 +164,25 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return joined.select("doc_id", F.coalesce("items", empty).alias("items"), F.coalesce("best_overlap", F.lit(0.0)).alias("best_overlap"))
 
 
+def _held(spark: SparkSession, rows: DataFrame):
+    """A block of items, broadcast: its size is bounded by BLOCK_TOKENS."""
+    return spark.sparkContext.broadcast(sorted((r["item_id"], r["text"].encode()) for r in rows.collect()))
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``docs``, all columns, without contaminated rows: a pass for each block of the benchmark, no shuffle."""
+    for rows in _blocks(benchmark):
+        held = _held(docs.sparkSession, rows)
+
+        def clean(texts: list, held=held, memo={}) -> np.ndarray:  # noqa: B006
+            if "block" not in memo:
+                memo["block"] = BenchmarkBlock(held.value)
+            return np.array([not (t and memo["block"].search(t.encode())) for t in texts], bool)
+
+        docs = filter_texts(docs, clean)
+    return docs
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs(doc_id, text)``, ``benchmark(item_id, text)`` -> ``doc_id, contaminated, kept, n_items, items, best_overlap``.
 

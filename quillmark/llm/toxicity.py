@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter, defaultdict
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -12,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import crc_fold, map_batches
+from quillmark.llm.common import crc_fold, filter_texts, map_batches
 
 #: The classifier is fitted on at most this many labelled rows of each class (those with the smallest id hashes).
 SAMPLE_PER_CLASS = 3000
@@ -192,6 +193,29 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS)
     return fit([r["text"] for r in got], [r["toxic"] for r in got])
 
 
+def scorer(model: Model) -> Callable[[list], np.ndarray]:
+    """A function from texts to scores; each worker builds the automaton once."""
+
+    def score_of(texts: list, memo={}) -> np.ndarray:  # noqa: B006
+        if "automaton" not in memo:
+            memo["automaton"] = model.automaton()
+        automaton, (c, a, b) = memo["automaton"], model.line
+        scores = np.zeros(len(texts))
+        for k, text in enumerate(texts):
+            folded = fold(text or "")
+            x, y = _shape(weigh(automaton, folded), len(folded))
+            scores[k] = 1 / (1 + math.exp(-max(-30.0, min(30.0, c + a * x + b * y))))
+        return scores
+
+    return score_of
+
+
+def without_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """``docs``, all columns, without rows that score ``threshold`` or more. Null texts stay."""
+    score_of = scorer(model)
+    return filter_texts(docs, lambda texts: score_of(texts) < threshold)
+
+
 def toxicity(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """``docs(doc_id, text)`` -> ``doc_id, held_out, score, predicted``, one row per input row.
 
@@ -200,15 +224,10 @@ def toxicity(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Dat
     Repeated rows get equal scores, other columns are ignored, an empty table gives no rows.
     """
 
+    score_of = scorer(model)
+
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        automaton = run.__dict__.setdefault("automaton", None) or run.__dict__.__setitem__("automaton", model.automaton()) or run.automaton
-        c, a, b = model.line
-        scores = []
-        for value in batch.column(2).to_pylist():
-            folded = fold(value or "")
-            x, y = _shape(weigh(automaton, folded), len(folded))
-            scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, c + a * x + b * y)))))
-        score = np.array(scores, float)
+        score = score_of(batch.column(2).to_pylist())
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score), pa.array((score >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(crc_fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
