@@ -9,11 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quillmark.llm.common import materialize
-from quillmark.llm.decontamination import decontaminate
+from quillmark.llm.decontamination import without_leaks
 from quillmark.llm.exact import exact_duplicates
 from quillmark.llm.minhash import near_duplicates
 from quillmark.llm.packing import pack_documents
-from quillmark.llm.toxicity import learn, toxicity
+from quillmark.llm.toxicity import learn, without_toxic
 from quillmark.session import ship
 
 #: Learned scores, set similarities and token ids can't be expressed in SQL; the tests hold stages against brute force.
@@ -28,8 +28,7 @@ def _only(docs: DataFrame, verdicts: DataFrame, dropped) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score of 0.7 or more go."""
     ship(spark)
-    model = learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _only(docs, toxicity(docs, model), "predicted = 1")
+    return without_toxic(docs, learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +46,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold half of a benchmark item or more go."""
     ship(spark)
-    return _only(docs, decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")), "contaminated")
+    return without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
