@@ -8,6 +8,7 @@ every word of a code-switched text a distribution over languages; a document tak
 from __future__ import annotations
 
 import re
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -265,6 +266,17 @@ class Labeller:
         return names, share
 
 
+_LABELLERS: dict[str, Labeller] = {}
+
+
+def _labeller(key: str, held) -> Labeller:
+    """One for each Python worker and field: the words it has met outlast the task."""
+    if key not in _LABELLERS:
+        _LABELLERS.clear()
+        _LABELLERS[key] = Labeller(held.value)
+    return _LABELLERS[key]
+
+
 def learn(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Field:
     """Fit on about ``per_language`` documents of each language whose crc32(doc_id as text) mod 4 is not 2.
 
@@ -289,12 +301,10 @@ def identify(docs: DataFrame, field: Field) -> DataFrame:
     and texts without a letter are ``und`` with score 0. A null doc_id is not held out; ties go to the language
     that sorts first; repeated rows give equal rows; other columns are ignored; no rows give no rows.
     """
-    held = docs.sparkSession.sparkContext.broadcast(field)  # BUCKETS by languages: bounded
+    held, key = docs.sparkSession.sparkContext.broadcast(field), uuid.uuid4().hex  # BUCKETS by languages: bounded
 
-    def run(batch: pa.RecordBatch, memo={}) -> pa.RecordBatch:  # noqa: B006
-        if "labeller" not in memo:
-            memo["labeller"] = Labeller(held.value)
-        names, share = memo["labeller"].documents(batch.column(2).to_pylist())
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        names, share = _labeller(key, held).documents(batch.column(2).to_pylist())
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(share)], ["doc_id", "held_out", "lang_pred", "score"])
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(crc_fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
