@@ -1,6 +1,8 @@
 import hashlib
+import math
 import random
 import zlib
+from collections import Counter
 
 import pytest
 from hypothesis import given, settings
@@ -176,6 +178,23 @@ def test_secrets(spark, odd, none):
     assert secrets.scan(odd, formats).count() == 12 and secrets.scan(none, formats).count() == 0
 
 
+def test_secrets_learn_from_every_document(spark):
+    rare = F.concat(F.lit("key AKIA"), F.upper(F.substring(F.sha2(F.col("id").cast("string"), 256), 1, 16)))
+    docs = spark.range(100_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 20_000 == 7, rare).otherwise(F.lit("a word")).alias("text"))
+    formats = secrets.learn(docs)
+    assert set(formats.automata) == {"access"}
+    assert formats.ordinary["g"] == math.log((3 * 99_995 + 2 * 5 + 1) / (5 * 99_995 + 3 * 5 + 50))
+
+
+def test_radix_tree_merges_like_the_plain_one():
+    rng = random.Random(3)
+    values = ["".join(rng.choice("0h") for _ in range(rng.choice([6, 9]))) + rng.choice(["", "A0", "A0="]) for _ in range(300)]
+    merged = secrets.infer(values)
+    assert sum(merged.ends) == 300 and sum(sum(t.values()) for t in merged.taken) == sum(map(len, values))
+    weighed = secrets.infer(Counter(values))
+    assert (weighed.moves, weighed.taken, weighed.ends) == (merged.moves, merged.taken, merged.ends)
+
+
 def test_merged_states_keep_counts():
     values = ["hh00", "hh0", "hh000", "hh0000"] * 5
     tree, merged = secrets.prefix_tree(values), secrets.infer(values)
