@@ -137,31 +137,24 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``doc_id, items, best_overlap`` of every input row: the items found in it and the largest share of one."""
     spark: SparkSession = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    parts = []
-    for rows in _blocks(benchmark):
+    found = source.select("doc_id", "text", F.array().cast("array<string>").alias("items"), F.lit(0.0).alias("best_overlap"))
+    blocks = _blocks(benchmark)
+    for rows in blocks:  # each pass adds its hits to the row, so rows are judged by themselves
         held = _held(spark, rows)
 
-        def run(batch: pa.RecordBatch, held=held, memo={}) -> pa.RecordBatch:  # noqa: B006
+        def run(batch: pa.RecordBatch, held=held, last=rows is blocks[-1], memo={}) -> pa.RecordBatch:  # noqa: B006
             if "block" not in memo:
                 memo["block"] = BenchmarkBlock(held.value)
             block, names, best = memo["block"], [], []
-            for text in batch.column(1).cast(pa.binary()).to_pylist():
+            for text, before, most in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 hits = block.search(text) if text else []
-                names.append(sorted({block.names[k] for k, _ in hits}))
-                best.append(max((c for _, c in hits), default=0.0))
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.list_(pa.string())), pa.array(best, pa.float64())], ["doc_id", "items", "best_overlap"])
-
-        parts.append(map_batches(source, run, FOUND))
-    if len(parts) == 1:
-        return parts[0]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    hits = out.where(F.size("items") > 0).select("doc_id", F.explode("items").alias("item"), "best_overlap")
-    found = hits.groupBy("doc_id").agg(F.array_sort(F.collect_set("item")).alias("items"), F.max("best_overlap").alias("best_overlap"))
-    empty = F.array().cast("array<string>")
-    joined = source.select("doc_id").join(found, "doc_id", "left")
-    return joined.select("doc_id", F.coalesce("items", empty).alias("items"), F.coalesce("best_overlap", F.lit(0.0)).alias("best_overlap"))
+                names.append(sorted({*before, *(block.names[k] for k, _ in hits)}))
+                best.append(max([most, *(c for _, c in hits)]))
+            out = pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(names, pa.list_(pa.string())), pa.array(best, pa.float64())], ["doc_id", "text", "items", "best_overlap"])
+            return out.select(["doc_id", "items", "best_overlap"]) if last else out
+
+        found = map_batches(found, run, FOUND if rows is blocks[-1] else FOUND.replace("doc_id long", "doc_id long, text string"))
+    return found
 
 
 def _held(spark: SparkSession, rows: DataFrame):

@@ -159,6 +159,16 @@ def test_decontamination(spark, odd, none):
     assert decontamination.decontaminate(docs, bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_decontamination_judges_rows_by_themselves(spark, monkeypatch):
+    passage = lambda k: " ".join(f"w{k}x{i}" for i in range(20))
+    bench = spark.createDataFrame([(k, passage(k)) for k in range(20)], "item_id long, text string")
+    docs = spark.createDataFrame([(None, passage(3)), (7, passage(4) + " " + passage(11)), (7, "all is clean here, nothing to see")], "doc_id long, text string")
+    whole = sorted(map(str, decontamination.decontaminate(docs, bench).collect()))
+    monkeypatch.setattr(decontamination, "BLOCK_TOKENS", 50)
+    assert sorted(map(str, decontamination.decontaminate(docs, bench).collect())) == whole
+    assert sum("contaminated=True" in r for r in whole) == 2
+
+
 def test_secrets(spark, odd, none):
     import re
 
