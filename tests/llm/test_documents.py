@@ -196,13 +196,6 @@ def test_secrets_learn_from_every_document(spark):
     assert formats.ordinary["g"] == math.log((3 * 99_995 + 2 * 5 + 1) / (5 * 99_995 + 3 * 5 + 50))
 
 
-def test_secrets_score_every_candidate(monkeypatch):
-    assert [v for _, _, v in secrets.candidates("abcDEFghiJKLm (123456789012) shortshorts")] == ["abcDEFghiJKLm", "123456789012"]
-    monkeypatch.setattr(secrets.Formats, "gain", lambda self, value: 99.0)
-    text = "see Zz0123456789abcdefZZ and 0123456789abcdef"
-    assert secrets.Formats().added(text, secrets.base_spans(text)) == [(4, 24, "format")]
-
-
 def test_radix_tree_merges_like_the_plain_one():
     rng = random.Random(3)
     values = ["".join(rng.choice("0h") for _ in range(rng.choice([6, 9]))) + rng.choice(["", "A0", "A0="]) for _ in range(300)]
