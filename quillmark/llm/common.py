@@ -16,20 +16,46 @@ TEXT_BATCH_ROWS = 256
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); a temporary one only where none is set."""
+    """The folder all executors share (``spark.checkpoint.dir``); on one machine a temporary one where none is set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quillmark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+class Scratch:
+    """Tables in the shared folder. On leaving, all go that aren't marked to be kept for the result."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.base = spark, f"{shared_dir(spark)}/quillmark"
+        self.passing: list[str] = []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for path in self.passing:
+            self.drop(path)
+
+    def drop(self, path: str) -> None:
+        held = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        held.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(held, True)
+
+    def write(self, df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
+        """Write ``df`` as Parquet and read it back: cuts lineage and survives lost executors."""
+        path = f"{self.base}/{tag}-{uuid.uuid4().hex}"
+        if not keep:
+            self.passing.append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quillmark/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """A table in the shared folder that the result is read from."""
+    return Scratch(df.sparkSession).write(df, tag, keep=True)
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -54,6 +80,52 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | p
     return df.mapInArrow(run, schema)
 
 
+#: Texts are looked up through a bitmap of this many bits (1 MiB): a bound that no input exceeds.
+BITMAP_BITS = 1 << 23
+
+
+def row_hash():
+    """64-bit hash of a row's doc_id and text."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
+def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``row_hash, text`` of (at least) the rows ``wanted(row_hash)``: a pass over ``docs``, no shuffle.
+
+    The filter is a bitmap of fixed size, never a list, so it lets some other rows through. With a text goes its
+    row's hash, by which it is to be joined.
+    """
+    bit = F.pmod(F.col("row_hash"), F.lit(BITMAP_BITS))
+    maps = wanted.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("part"))
+    parts = maps.agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect()  # at most 257 rows of 4 KiB
+    bits = np.zeros((BITMAP_BITS // 32768 + 2, 4096), np.uint8)
+    for r in parts:
+        bits[r["part"]] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    held = docs.sparkSession.sparkContext.broadcast(bits.tobytes())
+
+    # the position of a bit: bucket numbers start at 1 for bits 1.. and 0 for bit 0
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        table = np.frombuffer(held.value, np.uint8).reshape(-1, 4096)
+        part, pos = (batch.column(k).to_numpy(zero_copy_only=False) for k in (3, 4))
+        found = (table[part, pos >> 3] >> (pos & 7).astype(np.uint8)) & 1
+        return batch.filter(pa.array(found.astype(bool))).select(["row_hash", "text"])
+
+    source = docs.select(row_hash().alias("row_hash"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    source = source.withColumns({"part": F.bitmap_bucket_number(bit), "pos": F.bitmap_bit_position(bit)})
+    return map_batches(source, run, "row_hash long, text string")
+
+
+def only_rows(docs: DataFrame, heads: DataFrame) -> DataFrame:
+    """``docs``, all columns, cut to the rows ``heads(doc_id, row_hash)``; rows that are repeated whole stay once.
+
+    The key is the row's and not its group's, so that no group of copies meets in one task.
+    """
+    names = [f"_{k}_{uuid.uuid4().hex[:8]}" for k in range(3)]
+    key = lambda hashed: dict(zip(names, (F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.col("doc_id").isNull(), hashed)))
+    wanted = heads.withColumns(key(F.col("row_hash"))).select(*names)
+    return docs.withColumns(key(row_hash())).join(wanted, names, "left_semi").dropDuplicates(names).select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def filter_texts(docs: DataFrame, keep: Callable[[list], np.ndarray]) -> DataFrame:
     """``docs``, all columns, without the rows whose text ``keep`` turns down: one pass, no shuffle."""
     at = docs.columns.index("text")

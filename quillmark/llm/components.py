@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import materialize
+from quillmark.llm.common import Scratch
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -22,19 +22,20 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("u <> v").distinct()
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """``edges(u, v)`` of long ids -> ``(node, component)``: the smallest id reachable from each node of an edge.
 
     Nulls and self-links are ignored; repeated links and no links at all are fine. Each round writes its edges
     to the shared folder; only a row count and a checksum reach the driver.
     """
-    now = materialize(edges.where("u is not null and v is not null and u <> v").select("u", "v").distinct(), "cc")
+    scratch = scratch or Scratch(edges.sparkSession)
+    now = scratch.write(edges.where("u is not null and v is not null and u <> v").select("u", "v").distinct(), "cc")
     seen = None
     while True:
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == seen or not mark[0]:
             break
         seen = mark
-        now = materialize(_star(_star(now, True), False), "cc")
+        now = scratch.write(_star(_star(now, True), False), "cc")
     out = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return out.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()

@@ -16,3 +16,15 @@ def odd(spark):
 @pytest.fixture(scope="session")
 def none(odd):
     return odd.limit(0)
+
+
+#: An id with several texts, copies across ids and without one, rows repeated whole.
+REPEATED = [
+    (1, "a b c d e f g", "x"), (1, "words of its own and only here", "y"), (2, "a b c d e f g", "z"), (3, "z z q", "u"), (3, "z z q", "u"),
+    (None, "a b c d e f g", "n"), (None, None, "k"), (None, None, "k"), (7, "", "e"), (8, " ", "s"),
+]
+
+
+@pytest.fixture(scope="session")
+def repeated(spark):
+    return spark.createDataFrame(REPEATED, "doc_id long, text string, `a.b` string")

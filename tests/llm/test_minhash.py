@@ -86,3 +86,34 @@ def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 90), (100, 90), (7, 7), (None, 3)], "u long, v long")
     got = {r.node: r.component for r in connected_components(edges).collect()}
     assert got == {k: 0 for k in range(41)} | {90: 90, 100: 90}
+
+
+def family(n=700, seed=3):
+    """Near copies of one text on both sides of the similarity, so that some are linked and many stay alone."""
+    rng = random.Random(seed)
+    base = [f"v{k}" for k in range(120)]
+    rows = []
+    for k in range(n):
+        words = list(base)
+        for at in rng.sample(range(120), rng.randint(2, 9)):
+            words[at] = f"x{rng.randrange(10**6)}"
+        rows.append((k, " ".join(words)))
+    return rows
+
+
+def test_large_family_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(M, "BLOCK_ROWS", 64)  # so that buckets are dealt out in several blocks
+    rows = family()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in M.near_duplicates(docs, 2, 80).collect()}
+    assert got == brute(rows, 2)
+    assert len({c for _, c in got.values()}) > 20
+    kept = {r.doc_id for r in M.one_of_each(docs, 2, 80).collect()}
+    assert kept == {c for _, c in got.values()}
+
+
+def test_repeated_ids(spark, repeated):
+    got = sorted((r["doc_id"] or 0, r["a.b"]) for r in M.one_of_each(repeated, 2, 80).collect())
+    assert got == [(0, "k"), (1, "x"), (1, "y"), (3, "u"), (7, "e"), (8, "s")]
+    rows = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in M.near_duplicates(repeated, 2, 80).collect()}
+    assert {(1, 6, 1, True), (2, 6, 1, False), (None, 6, 1, False), (None, 0, None, True)} <= rows

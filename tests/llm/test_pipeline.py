@@ -44,3 +44,9 @@ def test_empty_documents(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, str(DATA))
         assert docs.count() == 0
+
+
+def test_rows_are_judged_one_by_one(spark, repeated):
+    docs = corpus_pipeline.drop_copies(spark, repeated, "")
+    assert docs.columns == ["doc_id", "text", "a.b"]
+    assert sorted((r["doc_id"] or 0, r["a.b"]) for r in docs.collect()) == [(1, "y"), (2, "z"), (3, "u"), (7, "e"), (8, "s")]
