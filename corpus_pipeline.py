@@ -1,7 +1,8 @@
 """The corpus pipeline: toxicity, exact and near duplicates, benchmark decontamination, packing.
 
 Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last return the
-columns of ``documents``; rows with equal doc_id are treated alike.
+columns of ``documents``. A row is judged by its own text, so ids may repeat with different texts and may be null.
+Each stage of an empty table gives an empty table; columns besides ``doc_id`` and ``text`` are carried along.
 """
 
 from __future__ import annotations
@@ -10,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillmark.llm.common import materialize
 from quillmark.llm.decontamination import without_leaks
-from quillmark.llm.exact import exact_duplicates
-from quillmark.llm.minhash import near_duplicates
+from quillmark.llm.exact import one_of_each_text
+from quillmark.llm.minhash import one_of_each
 from quillmark.llm.packing import pack_documents
 from quillmark.llm.toxicity import learn, without_toxic
 from quillmark.session import ship
@@ -20,37 +21,35 @@ from quillmark.session import ship
 ORACLE_SQL = None
 
 
-def _only(docs: DataFrame, verdicts: DataFrame, dropped) -> DataFrame:
-    """``docs`` without the rows whose doc_id is among the dropped ones; a null doc_id always stays."""
-    return docs.join(verdicts.where(dropped).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a toxicity score of 0.7 or more go."""
+    """Documents with a toxicity score of 0.7 or more go; null and empty texts stay."""
     ship(spark)
     return without_toxic(docs, learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the largest doc_id stays."""
+    """Of equal texts the document with the largest doc_id stays, and of rows repeated whole one; null counts as empty."""
     ship(spark)
-    return _only(docs, exact_duplicates(docs), "not kept")
+    return one_of_each_text(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by five-word shingles (similarity 0.8) the one with the smallest doc_id stays."""
+    """Of documents linked by five-word shingles (similarity 0.8) the one with the smallest doc_id stays.
+
+    Documents without words stand alone and stay; a null doc_id stays only where its group has no other.
+    """
     ship(spark)
-    return _only(docs, near_duplicates(docs, shingle=5, percent=80), "not kept")
+    return one_of_each(docs, shingle=5, percent=80)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold half of a benchmark item or more go."""
+    """Documents that hold half of a benchmark item or more go; null and empty texts stay."""
     ship(spark)
     return without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left, cut and packed into windows of 4096 tokens."""
+    """What is left, cut and packed into windows of 4096 tokens; a null or empty text is its end token alone."""
     ship(spark)
     return pack_documents(docs)
 
