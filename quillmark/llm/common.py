@@ -90,7 +90,7 @@ def row_hash():
 
 
 def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``row_hash, text`` of (at least) the rows ``wanted(row_hash)``: a pass over ``docs``, no shuffle.
+    """``row_hash, doc_id, text`` of (at least) the rows ``wanted(row_hash)``: a pass over ``docs``, no shuffle.
 
     The filter is a bitmap of fixed size, never a list, so it lets some other rows through. With a text goes its
     row's hash, by which it is to be joined.
@@ -108,22 +108,27 @@ def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         table = np.frombuffer(held.value, np.uint8).reshape(-1, 4096)
         part, pos = (batch.column(k).to_numpy(zero_copy_only=False) for k in (3, 4))
         found = (table[part, pos >> 3] >> (pos & 7).astype(np.uint8)) & 1
-        return batch.filter(pa.array(found.astype(bool))).select(["row_hash", "text"])
+        return batch.filter(pa.array(found.astype(bool))).select(["row_hash", "doc_id", "text"])
 
     source = docs.select(row_hash().alias("row_hash"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     source = source.withColumns({"part": F.bitmap_bucket_number(bit), "pos": F.bitmap_bit_position(bit)})
-    return map_batches(source, run, "row_hash long, text string")
+    return map_batches(source, run, "row_hash long, doc_id long, text string")
 
 
-def only_rows(docs: DataFrame, heads: DataFrame) -> DataFrame:
-    """``docs``, all columns, cut to the rows ``heads(doc_id, row_hash)``; rows that are repeated whole stay once.
+def row_key(rows: DataFrame, *carried: str) -> tuple[list[str], dict, DataFrame]:
+    """For joining ``rows(doc_id, row_hash)`` with documents: key names, the key's columns for documents, and ``rows`` with them.
 
-    The key is the row's and not its group's, so that no group of copies meets in one task.
+    The key is the row's and not its group's, so that no group of copies meets in one task. Null ids are equal.
     """
     names = [f"_{k}_{uuid.uuid4().hex[:8]}" for k in range(3)]
     key = lambda hashed: dict(zip(names, (F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.col("doc_id").isNull(), hashed)))
-    wanted = heads.withColumns(key(F.col("row_hash"))).select(*names)
-    return docs.withColumns(key(row_hash())).join(wanted, names, "left_semi").dropDuplicates(names).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return names, key(row_hash()), rows.withColumns(key(F.col("row_hash"))).select(*names, *carried)
+
+
+def only_rows(docs: DataFrame, heads: DataFrame) -> DataFrame:
+    """``docs``, all columns, cut to the rows ``heads(doc_id, row_hash)``; rows that are repeated whole stay once."""
+    names, own, wanted = row_key(heads)
+    return docs.withColumns(own).join(wanted, names, "left_semi").dropDuplicates(names).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def filter_texts(docs: DataFrame, keep: Callable[[list], np.ndarray]) -> DataFrame:

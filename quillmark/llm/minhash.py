@@ -114,7 +114,7 @@ def _nearest_hubs(shared: DataFrame, sketches: DataFrame, similarity: float) ->
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """``node, n, bands, fine, shingles`` of the classes ``wanted(node, row_hash, bands)``: fine sketch and whole set."""
+    """``node, n, bands, fine, shingles`` of the classes ``wanted(node, n, row_hash, bands)``: fine sketch and whole set."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingle_set(t, shingle) for t in text_bytes(batch.column(1))]
@@ -122,8 +122,8 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
         columns = [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(fine, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())]
         return pa.RecordBatch.from_arrays(columns, ["row_hash", "n", "fine", "shingles"])
 
-    found = map_batches(texts_of(docs, wanted.select("row_hash")), run, "row_hash long, n long, fine binary, shingles binary")
-    return found.join(wanted, "row_hash").dropDuplicates(["node"]).select("node", "n", "bands", "fine", "shingles")  # rows that are repeated whole
+    found = map_batches(texts_of(docs, wanted).select("row_hash", "text"), run, "row_hash long, n long, fine binary, shingles binary")
+    return found.join(wanted, ["row_hash", "n"]).dropDuplicates(["node"]).select("node", "n", "bands", "fine", "shingles")  # rows that are repeated whole
 
 
 def confirmed(docs: DataFrame, pairs: DataFrame, hashes: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -324,7 +324,7 @@ def linked_classes(docs: DataFrame, shingle: int, percent: int, scratch: Scratch
     near = scratch.write(_nearest_hubs(shared, reps, percent / 100), "pairs")
     links = scratch.write(confirmed(docs, near, reps.select("node", "row_hash"), shingle, percent), "links")
     dealt = scratch.write(_dealt(_labelled(shared, links), scratch), "dealt")
-    wanted = reps.join(dealt.select("node").distinct(), "node", "left_semi").select("node", "row_hash", "bands")
+    wanted = reps.join(dealt.select("node").distinct(), "node", "left_semi").select("node", "n", "row_hash", "bands")
     sets = scratch.write(shingle_sets(docs, wanted, shingle), "sets")
     rows = scratch.write(candidates(dealt, sets, percent), "candidates")
     links = links.unionByName(scratch.write(joining_links(rows, sets, percent), "links"))

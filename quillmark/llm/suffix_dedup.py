@@ -2,8 +2,9 @@
 
 Equal strings are brought together by anchors: in every window of ``length`` bytes the k-gram with the smallest hash.
 Equal windows have equal anchors at equal places, so windows only need to be compared within an anchor's group. The
-windows that an anchor's occurrence serves are one context. Occurrences whose whole context is the same are settled
-by its hash. Where a group has several different contexts, these are the only texts whose suffixes are sorted.
+windows that an anchor's occurrence serves are one context. Of occurrences whose whole context is the same (by the
+64-bit hashes of the anchor and of the context) the first stands for all. Where an anchor has several different
+contexts, their suffixes are sorted. An anchor with very many of them is split: its windows are dealt out one by one.
 """
 
 from __future__ import annotations
@@ -13,12 +14,14 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import _BYTE, _INV, _POW, BITMAP_BITS, map_batches, materialize, mix64, small_batches
+from quillmark.llm.common import _BYTE, _INV, _POW, Scratch, map_batches, mix64, row_hash, small_batches, texts_of
 
 LENGTH, GRAM = 100, 32
+#: An anchor with more different contexts than this isn't sorted in one task.
+GROUP = 512
 _BLOCK = 1 << 17
 _PLACE = np.uint64((1 << 18) - 1)
 
@@ -119,9 +122,8 @@ def repeated_windows(contexts: list[Context], length: int = LENGTH) -> list[list
     """Starts of each context's windows that an earlier context of the list has too.
 
     All contexts share an anchor, so what two of them have in common is one stretch around it. A context is first
-    cut to the longest stretch that any other can share, and equal cuts are settled at once. What is left of two
-    contexts is compared directly; that of more is joined with zero symbols in between and sorted by
-    ``linear_grouping_suffix_array``, where equal windows are neighbours.
+    cut to the longest stretch that any other can share, and equal cuts are settled at once. What is left is joined
+    with zero symbols in between and sorted by ``linear_grouping_suffix_array``, where equal windows are neighbours.
     """
     found: list[list[int]] = [[] for _ in contexts]
     left = _reach([data[:spot][::-1] for data, spot, _ in contexts])
@@ -138,12 +140,6 @@ def repeated_windows(contexts: list[Context], length: int = LENGTH) -> list[list
         else:
             kept[data[a:b], left[k]] = k
             pieces.append((k, a, data[a:b], windows))
-    if len(pieces) == 2:
-        (k1, a1, one, _), (k2, a2, two, windows) = pieces
-        s1, s2 = contexts[k1][1] - a1, contexts[k2][1] - a2
-        o, r = _shared(one[:s1][::-1], two[:s2][::-1]), _shared(one[s1:], two[s2:])
-        found[k2] += (a2 + w for w in range(max(0, s2 - o), min(windows, s2 + r - length + 1)))
-        return found
     if len(pieces) < 2:
         return found
     text: list[int] = []
@@ -206,75 +202,65 @@ def anchors_of(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.
     return tuple(np.concatenate([p[k] for p in parts]) for k in range(5))
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-
+OWNER = ["doc_id", "row_hash"]
 
-def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Texts of (at least) the wanted documents. The filter is a bitmap of fixed size, never a list of ids."""
-    bit = F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP_BITS))
-    maps = ids.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("part"))
-    parts = maps.agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect()  # at most 257 rows of 4 KiB
-    bits = np.zeros((BITMAP_BITS // 32768 + 2, 4096), np.uint8)
-    for r in parts:
-        bits[r["part"]] = np.frombuffer(bytes(r["bits"]), np.uint8)
-    held = docs.sparkSession.sparkContext.broadcast(bits.tobytes())
 
-    # the position of a bit: bucket numbers start at 1 for bits 1.. and 0 for bit 0
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        table = np.frombuffer(held.value, np.uint8).reshape(-1, 4096)
-        part, pos = (batch.column(k).to_numpy(zero_copy_only=False) for k in (2, 3))
-        wanted = (table[part, pos >> 3] >> (pos & 7).astype(np.uint8)) & 1
-        return batch.filter(pa.array(wanted.astype(bool))).select(["doc_id", "text"])
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_hash().alias("row_hash"), F.col("text").cast("string").alias("text"))
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    source = source.withColumns({"part": F.bitmap_bucket_number(bit), "pos": F.bitmap_bit_position(bit)})
-    return map_batches(source, run, "doc_id long, text string")
 
+def _anchors(docs: DataFrame, whole: bool) -> DataFrame:
+    """The anchors of all texts: their keys alone or, if ``whole``, with their contexts and places."""
+    names = ["key", "context", *OWNER, "at"] if whole else ["key"]
 
-def _anchors(docs: DataFrame) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows: list[tuple] = []
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
-            key, context, start, spot, count = anchors_of(text or b"")
-            rows.append((key.view(np.int64), context.view(np.int64), np.full(len(key), doc_id, np.int64), start << 16 | spot << 8 | count))
-        columns = [np.concatenate([r[k] for r in rows]) if rows else np.zeros(0, np.int64) for k in range(4)]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "context", "doc_id", "at"])
+        for doc_id, row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist()):
+            key, context, start, spot, count = anchors_of(text)
+            own = (context.view(np.int64), np.full(len(key), doc_id, np.int64), np.full(len(key), row, np.int64), start << 16 | spot << 8 | count) if whole else ()
+            rows.append((key.view(np.int64), *own))
+        columns = [np.concatenate([r[k] for r in rows]) if rows else np.zeros(0, np.int64) for k in range(len(names))]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
+
+    return map_batches(_rows(docs).where(f"doc_id is not null and octet_length(text) >= {LENGTH}"), run, ", ".join(f"{n} long" for n in names))
+
 
-    return map_batches(_texts(docs).where("doc_id is not null and octet_length(text) >= " + str(LENGTH)), run, "key long, context long, doc_id long, at long")
+def _with_texts(docs: DataFrame, rows: DataFrame, own: str) -> DataFrame:
+    """``own``, text of each row that ``rows`` has lists for; rows that are repeated whole come once."""
+    texts = texts_of(docs, rows).dropDuplicates(OWNER)
+    return texts.join(rows, OWNER).select(*OWNER, "text", own)
 
 
 def _contexts(docs: DataFrame, open_: DataFrame) -> DataFrame:
     """The bytes of the open contexts, from their documents."""
-    wanted = open_.groupBy("doc_id").agg(F.collect_list(F.struct("key", "at")).alias("spots"))  # at most a document's anchors
-    both = _texts_of(docs, wanted.select("doc_id")).join(wanted, "doc_id")
+    wanted = open_.groupBy(*OWNER).agg(F.collect_list(F.struct("key", "m", "at")).alias("spots"))  # at most a document's anchors
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
-        for doc_id, text, spots in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist()):
+        for doc_id, row, text, spots in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).to_pylist()):
             for s in spots:
                 start, spot, count = s["at"] >> 16, s["at"] >> 8 & 255, s["at"] & 255
-                rows.append((s["key"], doc_id, start, spot, count, text[start : start + count + LENGTH - 1]))
-        kinds = [pa.int64()] * 5 + [pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["key", "doc_id", "start", "spot", "count", "bytes"])
+                rows.append((s["key"], s["m"], doc_id, row, start, spot, count, text[start : start + count + LENGTH - 1]))
+        kinds = [pa.int64()] * 7 + [pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["key", "m", *OWNER, "start", "spot", "count", "bytes"])
 
-    return map_batches(both, run, "key long, doc_id long, start long, spot long, count long, bytes binary")
+    return map_batches(_with_texts(docs, wanted, "spots"), run, "key long, m long, doc_id long, row_hash long, start long, spot long, count long, bytes binary")
+
+
+RUNS = "doc_id long, row_hash long, start long, count long"
 
 
 def _sorted_groups(contexts: DataFrame) -> DataFrame:
-    """``doc_id, start, count``: runs of window starts that the suffix order shows to be repeats."""
+    """Runs of window starts that the suffix order shows to be repeats. No group holds more than ``GROUP`` contexts."""
 
-    def group(rows: list[tuple]) -> Iterator[tuple[int, int, int]]:
-        rows = [r for k, r in enumerate(rows) if not k or r[1:3] != rows[k - 1][1:3]]  # rows that repeat a doc_id
-        if len(rows) < 2:
-            return
-        for (_, doc_id, start, *_), starts in zip(rows, repeated_windows([(r[5], r[3], r[4]) for r in rows])):
+    def group(rows: list[tuple]) -> Iterator[tuple[int, int, int, int]]:
+        for (_, doc_id, row, start, *_), starts in zip(rows, repeated_windows([r[6:3:-1] for r in rows])):
             k = 0
             while k < len(starts):
                 m = k
                 while m + 1 < len(starts) and starts[m + 1] == starts[m] + 1:
                     m += 1
-                yield doc_id, start + starts[k], m - k + 1
+                yield doc_id, row, start + starts[k], m - k + 1
                 k = m + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,7 +268,7 @@ def _sorted_groups(contexts: DataFrame) -> DataFrame:
         out: list[tuple] = []
 
         def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(3)], ["doc_id", "start", "count"])
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(4)], [*OWNER, "start", "count"])
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
@@ -297,46 +283,70 @@ def _sorted_groups(contexts: DataFrame) -> DataFrame:
         yield flush()
 
     small_batches(contexts.sparkSession)
-    return contexts.repartition("key").sortWithinPartitions("key", "doc_id", "start").mapInArrow(run, "doc_id long, start long, count long")
+    rows = contexts.select("key", *OWNER, "start", "count", "spot", "bytes")
+    return rows.repartition("key").sortWithinPartitions("key", *OWNER, "start").mapInArrow(run, RUNS)
 
 
-CUT = "doc_id long, n_removed long, n_spans long, kept_sha256 string"
+def _split_groups(contexts: DataFrame, scratch: Scratch) -> DataFrame:
+    """The same for anchors with more contexts: equal windows meet by a digest of their bytes, wherever they are.
+
+    The first of equal windows is found by partial aggregation, so a window of any frequency is cheap.
+    """
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = []
+        for doc_id, row, start, count, data in zip(*(c.to_pylist() for c in batch.columns)):
+            rows += ((hashlib.blake2b(data[k : k + LENGTH], digest_size=16).digest(), doc_id, row, start + k) for k in range(count))
+        kinds = [pa.binary()] + [pa.int64()] * 3
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["digest", *OWNER, "start"])
+
+    windows = map_batches(contexts.select(*OWNER, "start", "count", "bytes"), run, "digest binary, doc_id long, row_hash long, start long")
+    first = windows.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct(*OWNER, "start")).alias("first"))
+    first = scratch.write(first.where("n > 1").select("digest", "first"), "windows")
+    again = windows.join(first, "digest").where(F.struct(*OWNER, "start") != F.col("first"))
+    return again.select(*OWNER, "start", F.lit(1).cast("long").alias("count"))
+
+
+CUT = "doc_id long, row_hash long, n_removed long, n_spans long, kept_sha256 string"
 
 
 def _cut(docs: DataFrame, runs: DataFrame) -> DataFrame:
-    spans = runs.groupBy("doc_id").agg(F.collect_list(F.struct("start", "count")).alias("runs"))  # at most a document's windows
-    both = _texts_of(docs, spans.select("doc_id")).join(spans, "doc_id")
+    spans = runs.groupBy(*OWNER).agg(F.collect_list(F.struct("start", "count")).alias("runs"))  # at most a document's windows
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
-        for doc_id, text, runs in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist()):
+        for doc_id, row, text, runs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).to_pylist()):
             edge = np.zeros(len(text) + 1, np.int32)
             for r in runs:
-                a, b = r["start"], min(len(text), r["start"] + r["count"] + LENGTH - 1)
-                if a < b:
-                    edge[a] += 1
-                    edge[b] -= 1
+                edge[r["start"]] += 1
+                edge[r["start"] + r["count"] + LENGTH - 1] -= 1
             gone = np.cumsum(edge[:-1]) > 0
             kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
             spans = int(np.count_nonzero(np.diff(gone.astype(np.int8), prepend=0) == 1))
-            rows.append((doc_id, int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()))
-        kinds = [pa.int64()] * 3 + [pa.string()]
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["doc_id", "n_removed", "n_spans", "kept_sha256"])
+            rows.append((doc_id, row, int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()))
+        kinds = [pa.int64()] * 4 + [pa.string()]
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], [*OWNER, "n_removed", "n_spans", "kept_sha256"])
 
-    return map_batches(both, run, CUT)
+    return map_batches(_with_texts(docs, spans, "runs"), run, CUT)
 
 
-def repeated_runs(docs: DataFrame) -> DataFrame:
-    """``doc_id, start, count``: every window of LENGTH bytes that also starts earlier, as runs of window starts."""
-    anchors = _anchors(docs)
-    by_key = Window.partitionBy("key")
-    several = anchors.withColumn("m", F.count("*").over(by_key)).where("m > 1")
-    rank = F.rank().over(Window.partitionBy("key", "context").orderBy("doc_id", "at"))
-    marked = several.withColumn("gone", rank > 1).withColumns({"lo": F.min("context").over(by_key), "hi": F.max("context").over(by_key)})
-    marked = materialize(marked.where("gone or lo <> hi").select("key", "doc_id", "at", "gone"), "anchors")
-    open_ = marked.where("not gone").select("key", "doc_id", "at")
-    whole = marked.where("gone").select("doc_id", F.expr("shiftright(at, 16)").alias("start"), F.expr("at & 255").alias("count"))
-    return materialize(whole.unionByName(_sorted_groups(_contexts(docs, open_))), "runs")
+def repeated_runs(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """``doc_id, row_hash, start, count``: every window of LENGTH bytes that also starts earlier, as runs of window starts.
+
+    Counts and firsts are partial aggregates, and tables are joined with an exchange on both sides, so an anchor or
+    a context of any frequency is spread over tasks.
+    """
+    several = scratch.write(_anchors(docs, False).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "keys")
+    met = scratch.write(_anchors(docs, True).join(several, "key"), "anchors")
+    place = F.struct(*OWNER, "at")
+    first = scratch.write(met.groupBy("key", "context").agg(F.count("*").alias("n"), F.min(place).alias("first")), "firsts")
+    mixed = scratch.write(first.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "mixed")
+    again = met.join(first.where("n > 1").select("key", "context", "first"), ["key", "context"]).where(place != F.col("first"))
+    again = again.select(*OWNER, F.expr("shiftright(at, 16)").alias("start"), F.expr("at & 255").alias("count"))
+    open_ = first.select("key", "first.*").join(mixed, "key")
+    contexts = scratch.write(_contexts(docs, open_), "contexts")
+    found = _sorted_groups(contexts.where(F.col("m") <= GROUP)).unionByName(_split_groups(contexts.where(F.col("m") > GROUP), scratch))
+    return scratch.write(again.unionByName(found), "runs")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -345,10 +355,12 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     Texts are UTF-8 bytes. Every byte goes that a string of LENGTH bytes covers which also starts earlier: in a
     document with a smaller doc_id, or in the same one. Strings overlap, never cross documents and are judged on
     the input. Null and short texts lose nothing; null counts as empty. Rows with a null doc_id are left as they
-    are. Rows that repeat a doc_id count as one document. No rows give no rows; other columns are ignored.
+    are and take nothing from others. Rows that repeat a doc_id with its text count as one document; with different
+    texts they are documents of their own, in the order of their hashes. No rows give no rows; other columns are ignored.
     """
-    cut = _cut(docs, repeated_runs(docs))
+    with Scratch(docs.sparkSession) as scratch:
+        cut = scratch.write(_cut(docs, repeated_runs(docs, scratch)), "cut", keep=True)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("sha"))
+    base = _rows(docs).select(*OWNER, F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("sha"))
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
-    return base.join(cut.dropDuplicates(["doc_id"]), "doc_id", "left").select("doc_id", "n_bytes", zero("n_removed"), zero("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"))
+    return base.join(cut, OWNER, "left").select("doc_id", "n_bytes", zero("n_removed"), zero("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"))

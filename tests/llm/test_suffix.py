@@ -61,3 +61,26 @@ def test_odd_rows(spark, odd, none):
     assert got.count() == 12 and S.remove_repeats(none).count() == 0
     rows = {r.doc_id: r for r in got.collect()}
     assert rows[1].kept_sha256 == hashlib.sha256(b"").hexdigest() and rows[7].n_removed > 140_000 and rows[9].n_removed == 300 - 1 and rows[None].n_removed == 0
+
+
+def test_repeated_ids(spark):
+    rng = random.Random(4)
+    passage = "".join(rng.choice("abcdef ") for _ in range(500))
+    schema = "doc_id long, text string"
+    got = sorted(tuple(r)[:4] for r in S.remove_repeats(spark.createDataFrame([(1, passage), (2, passage), (2, None)], schema)).collect())
+    assert got == [(1, 500, 0, 0), (2, 0, 0, 0), (2, 500, 500, 1)]
+    other = passage[::-1]
+    got = sorted(tuple(r)[:4] for r in S.remove_repeats(spark.createDataFrame([(2, passage), (2, other), (2, "short"), (None, passage)], schema)).collect() if r.doc_id)
+    assert got == [(2, 5, 0, 0), (2, 500, 0, 0), (2, 500, 0, 0)]
+
+
+def test_anchors_with_many_contexts(spark, monkeypatch):
+    """A common line in ever different surroundings, more often than a task sorts."""
+    monkeypatch.setattr(S, "GROUP", 8)
+    rng = random.Random(6)
+    any_text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    line, passage = any_text(70), any_text(130)
+    rows = [(k, any_text(90) + (line if k % 3 else passage) + any_text(90)) for k in range(60)] + [(60, any_text(10) + line + any_text(70))]
+    rows += [(61, rows[1][1][40:220]), (62, rows[5][1])]
+    got = {r.doc_id: tuple(r)[1:] for r in S.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)
