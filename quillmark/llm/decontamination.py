@@ -1,4 +1,9 @@
-"""Benchmark decontamination by spaced-seed hashing."""
+"""Benchmark decontamination by spaced-seed hashing.
+
+The seeds of all items are a table. One pass over the corpus lets out the seeds of each text that a filter of fixed
+size may hold; these are joined with the table, which leaves pairs of a row and an item. Their texts are then
+brought together, and overlaps around the hits are extended and measured.
+"""
 
 from __future__ import annotations
 
@@ -6,10 +11,10 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import filter_texts, map_batches, mix64, word_hashes
+from quillmark.llm.common import Scratch, map_batches, mix64, row_hash, row_key, texts_of, word_hashes
 
 #: Five chosen tokens each; the gaps are the positions that a substitution may take.
 MASKS = ((0, 1, 2, 3, 4), (0, 1, 3, 5, 6), (0, 2, 3, 6, 8), (0, 1, 4, 6, 9), (0, 3, 4, 5, 9), (0, 2, 5, 6, 7))
@@ -18,9 +23,12 @@ COVERAGE = 0.5
 #: An extension ends when its score (1 a match, -2 a substitution) falls this far below its best.
 DROP = 6
 LEAST_SEGMENT = 5
-#: Benchmark tokens that are held by a worker at a time; a larger benchmark is searched in blocks.
-BLOCK_TOKENS = 400_000
-_TABLE_BITS = 22
+#: Seeds of the corpus are sifted by two bitmaps of so many bits, whatever the benchmark's size.
+COARSE_BITS, FINE_BITS = 22, 26
+#: Items that are held against a text at a time.
+CHUNK = 64
+#: Marks the first word of an item that is shorter than a mask.
+_SHORT = np.uint64(0xA24BAED4963EE407)
 
 _PUNCTUATION = bytes(c if c >= 0x80 or chr(c).isalnum() else 0x20 for c in range(256))
 _RNG = np.random.Generator(np.random.PCG64(5150))
@@ -44,14 +52,20 @@ def seeds(words: np.ndarray, mask: int) -> np.ndarray:
     return mix64(total)
 
 
-class BenchmarkBlock:
-    """A bounded block of items, indexed by seed. Items shorter than a mask are looked up by their first words."""
+def item_seeds(words: np.ndarray) -> np.ndarray:
+    """All seeds of an item. One that is shorter than a mask is found by its first word."""
+    if 0 < len(words) < len(MASKS[0]):
+        return mix64(words[:1] ^ _SHORT)
+    return np.concatenate([seeds(words, m) for m in range(len(MASKS))])
+
 
-    def __init__(self, items: list[tuple[str, bytes]]):
-        self.names = [name for name, _ in items]
-        self.words = [tokens(text) for _, text in items]
+class Items:
+    """Some items, indexed by seed."""
+
+    def __init__(self, texts: list[bytes]):
+        self.words = [tokens(text) for text in texts]
         self.short: dict[int, list[int]] = defaultdict(list)
-        hashes, places = [], []
+        hashes, places = [np.zeros(0, np.uint64)], [np.zeros((0, 2), np.int64)]
         for k, w in enumerate(self.words):
             if 0 < len(w) < len(MASKS[0]):
                 self.short[int(w[0])].append(k)
@@ -59,23 +73,18 @@ class BenchmarkBlock:
                 s = seeds(w, m)
                 hashes.append(s)
                 places.append(np.stack([np.full(len(s), k), np.arange(len(s))], 1))
-        at = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+        at = np.concatenate(hashes)
         order = np.argsort(at, kind="stable")
-        self.hashes, self.places = at[order], (np.concatenate(places) if places else np.zeros((0, 2), int))[order]
-        self.table = np.zeros(1 << _TABLE_BITS, bool)
-        self.table[at >> np.uint64(64 - _TABLE_BITS)] = True
+        self.hashes, self.places = at[order], np.concatenate(places)[order]
 
-    def search(self, text: bytes) -> list[tuple[int, float]]:
-        """Items that contaminate the text, and how much of each is in it."""
-        words = tokens(text)
+    def search(self, words: np.ndarray) -> list[tuple[int, float]]:
+        """Items that contaminate the text of these words, and how much of each is in it."""
         diagonals: dict[int, set[int]] = defaultdict(set)
-        for m in range(len(MASKS)):
+        for m in range(len(MASKS) if len(self.hashes) else 0):
             s = seeds(words, m)
-            near = np.flatnonzero(self.table[s >> np.uint64(64 - _TABLE_BITS)])
-            if not len(near):
-                continue
-            lo, hi = np.searchsorted(self.hashes, s[near]), np.searchsorted(self.hashes, s[near], side="right")
-            for p, a, b in zip(near[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist()):
+            lo, hi = np.searchsorted(self.hashes, s), np.searchsorted(self.hashes, s, side="right")
+            near = np.flatnonzero(hi > lo)
+            for p, a, b in zip(near.tolist(), lo[near].tolist(), hi[near].tolist()):
                 for item, q in self.places[a:b].tolist():
                     diagonals[item].add(p - q)
         found = [(item, c) for item, ds in diagonals.items() if (c := self._coverage(words, item, sorted(ds))) >= COVERAGE]
@@ -89,14 +98,22 @@ class BenchmarkBlock:
     def _coverage(self, words: np.ndarray, item: int, diagonals: list[int]) -> float:
         """The largest share of the item's tokens in place within one stretch of the text.
 
-        Segments on nearby diagonals count together, so a word left out or put in doesn't hide a passage.
+        Segments on nearby diagonals count together, so a word left out or put in doesn't hide a passage. The
+        window slides over the sorted diagonals: each segment is added once and taken away once.
         """
         own = self.words[item]
         held = [(d, s) for d in diagonals if len(s := self._segments(words, own, d))]
-        best = 0
-        for i, (d, _) in enumerate(held):
-            near = [s for e, s in held[i:] if e - d <= max(2, len(own) // 4)]
-            best = max(best, len(near[0]) if len(near) == 1 else len(set().union(*(s.tolist() for s in near))))
+        times = np.zeros(len(own), np.int64)
+        covered = best = first = 0
+        for d, s in held:
+            while d - held[first][0] > max(2, len(own) // 4):
+                gone = held[first][1]
+                times[gone] -= 1
+                covered -= int(np.count_nonzero(times[gone] == 0))
+                first += 1
+            covered += int(np.count_nonzero(times[s] == 0))
+            times[s] += 1
+            best = max(best, covered)
         return best / len(own)
 
     @staticmethod
@@ -122,68 +139,99 @@ class BenchmarkBlock:
         return np.concatenate(kept) if kept else np.zeros(0, int)
 
 
-def _blocks(benchmark: DataFrame) -> list[DataFrame]:
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null and item_id is not null")
-    sizes = items.agg(F.sum(F.regexp_count("text", F.lit(r"\S+"))).alias("n")).first()
-    count = max(1, -(-int(sizes["n"] or 0) // BLOCK_TOKENS))
-    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(count))
-    return [items.where(part == k) for k in range(count)]
-
-
-FOUND = "doc_id long, items array<string>, best_overlap double"
-
-
-def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``doc_id, items, best_overlap`` of every input row: the items found in it and the largest share of one."""
-    spark: SparkSession = docs.sparkSession
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = source.select("doc_id", "text", F.array().cast("array<string>").alias("items"), F.lit(0.0).alias("best_overlap"))
-    blocks = _blocks(benchmark)
-    for rows in blocks:  # each pass adds its hits to the row, so rows are judged by themselves
-        held = _held(spark, rows)
-
-        def run(batch: pa.RecordBatch, held=held, last=rows is blocks[-1], memo={}) -> pa.RecordBatch:  # noqa: B006
-            if "block" not in memo:
-                memo["block"] = BenchmarkBlock(held.value)
-            block, names, best = memo["block"], [], []
-            for text, before, most in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                hits = block.search(text) if text else []
-                names.append(sorted({*before, *(block.names[k] for k, _ in hits)}))
-                best.append(max([most, *(c for _, c in hits)]))
-            out = pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(names, pa.list_(pa.string())), pa.array(best, pa.float64())], ["doc_id", "text", "items", "best_overlap"])
-            return out.select(["doc_id", "items", "best_overlap"]) if last else out
-
-        found = map_batches(found, run, FOUND if rows is blocks[-1] else FOUND.replace("doc_id long", "doc_id long, text string"))
-    return found
-
-
-def _held(spark: SparkSession, rows: DataFrame):
-    """A block of items, broadcast: its size is bounded by BLOCK_TOKENS."""
-    return spark.sparkContext.broadcast(sorted((r["item_id"], r["text"].encode()) for r in rows.collect()))
+def _items(benchmark: DataFrame, scratch: Scratch) -> DataFrame:
+    """``item, item_id, text, seeds``, one row per item that can be found."""
+    rows = benchmark.select(F.monotonically_increasing_id().alias("item"), F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [item_seeds(tokens(t)).view(np.int64) for t in batch.column(2).cast(pa.binary()).to_pylist()]
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.int64()))], ["item", "item_id", "text", "seeds"])
+
+    return scratch.write(map_batches(rows.where("text is not null and item_id is not null"), run, "item long, item_id string, text string, seeds array<long>"), "items")
+
+
+def _bits(seeds: DataFrame, width: int, shift: int) -> bytes:
+    """A bitmap of 2 ** width bits of the seeds, from their bits above ``shift``."""
+    bit = F.shiftrightunsigned("seed", shift).bitwiseAND(F.lit((1 << width) - 1)) + 1  # bucket numbers begin with bit 1
+    parts = seeds.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect()
+    out = bytearray(1 << width - 3)  # as long as the parts together: 4 KiB for every 32768 bits
+    for r in parts:
+        out[(r["part"] - 1) * 4096 : r["part"] * 4096] = r["bits"]
+    return bytes(out)
+
+
+def _hits(docs: DataFrame, seeds_: DataFrame) -> DataFrame:
+    """``doc_id, row_hash, seed``: the seeds of the texts that are seeds of an item (and a few others)."""
+    held = docs.sparkSession.sparkContext.broadcast((_bits(seeds_, COARSE_BITS, 40), _bits(seeds_, FINE_BITS, 8)))
+
+    def run(batch: pa.RecordBatch, memo={}) -> pa.RecordBatch:  # noqa: B006
+        if "coarse" not in memo:
+            memo["coarse"] = np.unpackbits(np.frombuffer(held.value[0], np.uint8), bitorder="little").view(bool)
+        coarse, fine = memo["coarse"], np.frombuffer(held.value[1], np.uint8)
+        owners, found = [], []
+        for k, text in enumerate(batch.column(2).cast(pa.binary()).to_pylist()):
+            words = tokens(text)
+            mine = []
+            for m in range(len(MASKS) + 1):
+                s = seeds(words, m) if m < len(MASKS) else mix64(words ^ _SHORT)
+                s = s[coarse[(s >> np.uint64(40)) & np.uint64((1 << COARSE_BITS) - 1)]]
+                at = (s >> np.uint64(8)) & np.uint64((1 << FINE_BITS) - 1)
+                mine.append(s[(fine[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0])
+            mine = np.unique(np.concatenate(mine))
+            found.append(mine)
+            owners.append(np.full(len(mine), k))
+        which = pa.array(np.concatenate(owners) if owners else np.zeros(0, np.int64))
+        seed = np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
+        return pa.RecordBatch.from_arrays([batch.column(0).take(which), batch.column(1).take(which), pa.array(seed)], ["doc_id", "row_hash", "seed"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_hash().alias("row_hash"), F.col("text").cast("string").alias("text"))
+    return map_batches(rows.where("text is not null"), run, "doc_id long, row_hash long, seed long")
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame, scratch: Scratch) -> DataFrame:
+    """``doc_id, row_hash, item_id, overlap``: the items that are found in a row, and how much of each."""
+    items = _items(benchmark, scratch)
+    seeds_ = scratch.write(items.select("item", F.explode("seeds").alias("seed")).distinct(), "seeds")
+    pairs = scratch.write(_hits(docs, seeds_).join(seeds_, "seed").select("doc_id", "row_hash", "item").distinct(), "pairs")
+    # a row's items come in chunks, however many they are
+    count = pairs.groupBy("row_hash").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
+    dealt = pairs.select("row_hash", "item").distinct().join(count, "row_hash").withColumn("chunk", F.pmod(F.xxhash64("item"), "chunks"))
+    listed = dealt.join(items.select("item", "item_id", "text"), "item").groupBy("row_hash", "chunk").agg(F.collect_list(F.struct("item_id", "text")).alias("items"))
+    both = texts_of(docs, pairs).distinct().join(listed, "row_hash").select("doc_id", "row_hash", "text", "items")
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = []
+        for doc_id, row, text, items in zip(*(c.to_pylist() for c in batch.columns)):
+            index = Items([i["text"].encode() for i in items])
+            rows += ((doc_id, row, items[k]["item_id"], share) for k, share in index.search(tokens(text.encode())))
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.float64())
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["doc_id", "row_hash", "item_id", "overlap"])
+
+    return map_batches(both, run, "doc_id long, row_hash long, item_id string, overlap double")
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs``, all columns, without contaminated rows: a pass for each block of the benchmark, no shuffle."""
-    for rows in _blocks(benchmark):
-        held = _held(docs.sparkSession, rows)
-
-        def clean(texts: list, held=held, memo={}) -> np.ndarray:  # noqa: B006
-            if "block" not in memo:
-                memo["block"] = BenchmarkBlock(held.value)
-            return np.array([not (t and memo["block"].search(t.encode())) for t in texts], bool)
-
-        docs = filter_texts(docs, clean)
-    return docs
+    """``docs``, all columns, without contaminated rows. Only the keys of these are joined with ``docs``."""
+    with Scratch(docs.sparkSession) as scratch:
+        found = scratch.write(overlaps(docs, benchmark, scratch).select("doc_id", "row_hash").distinct(), "leaks", keep=True)
+    names, own, other = row_key(found)
+    return docs.withColumns(own).join(other, names, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs(doc_id, text)``, ``benchmark(item_id, text)`` -> ``doc_id, contaminated, kept, n_items, items, best_overlap``.
 
-    One row per input row. A document is contaminated if half of an item's tokens or more are found in it in
-    place, in segments of five tokens or more that tolerate substitutions, on neighbouring diagonals. Items of
-    fewer than five tokens count only as a whole. Null and empty texts are clean, null and empty items match
-    nothing, repeated rows give equal rows; an empty benchmark leaves all clean; other columns are ignored.
+    One row per input row, judged by its own text, whatever its id. A document is contaminated if half of an item's
+    tokens or more are found in it in place, in segments of five tokens or more that tolerate substitutions, on
+    neighbouring diagonals. Items of fewer than five tokens count only as a whole. Null and empty texts are clean,
+    null and empty items match nothing, repeated rows give equal rows; an empty benchmark leaves all clean; other
+    columns are ignored.
     """
-    found = overlaps(docs, benchmark)
-    bad = F.size("items") > 0
-    return found.select("doc_id", bad.alias("contaminated"), (~bad).alias("kept"), F.size("items").cast("long").alias("n_items"), F.array_join("items", ",").alias("items"), "best_overlap")
+    with Scratch(docs.sparkSession) as scratch:
+        found = overlaps(docs, benchmark, scratch).groupBy("doc_id", "row_hash").agg(F.sort_array(F.collect_set("item_id")).alias("items"), F.max("overlap").alias("best_overlap"))
+        found = scratch.write(found, "overlaps", keep=True)
+    names, own, other = row_key(found, "items", "best_overlap")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumns(own).drop("text").join(other, names, "left")
+    bad = F.col("items").isNotNull()
+    count = F.coalesce(F.size("items"), F.lit(0)).cast("long")
+    return rows.select("doc_id", bad.alias("contaminated"), (~bad).alias("kept"), F.when(bad, count).otherwise(F.lit(0)).cast("long").alias("n_items"), F.coalesce(F.array_join("items", ","), F.lit("")).alias("items"), F.coalesce("best_overlap", F.lit(0.0)).alias("best_overlap"))

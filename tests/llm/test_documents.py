@@ -1,6 +1,7 @@
 import hashlib
 import math
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -150,11 +151,7 @@ def test_decontamination(spark, odd, none):
     docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     got = {r.doc_id for r in decontamination.decontaminate(docs, bench).where("contaminated").collect()}
     assert got == leaks | {501}
-    decontamination.BLOCK_TOKENS, before = 300, decontamination.BLOCK_TOKENS
-    try:
-        assert {r.doc_id for r in decontamination.decontaminate(docs, bench).where("not kept").collect()} == got
-    finally:
-        decontamination.BLOCK_TOKENS = before
+    assert {r.doc_id for r in decontamination.without_leaks(docs, bench).collect()} == {i for i, _ in rows} - got
     assert decontamination.decontaminate(odd, bench).count() == 12 and decontamination.decontaminate(none, bench).count() == 0
     assert decontamination.decontaminate(docs, bench.limit(0)).where("contaminated").count() == 0
 
@@ -164,9 +161,80 @@ def test_decontamination_judges_rows_by_themselves(spark, monkeypatch):
     bench = spark.createDataFrame([(k, passage(k)) for k in range(20)], "item_id long, text string")
     docs = spark.createDataFrame([(None, passage(3)), (7, passage(4) + " " + passage(11)), (7, "all is clean here, nothing to see")], "doc_id long, text string")
     whole = sorted(map(str, decontamination.decontaminate(docs, bench).collect()))
-    monkeypatch.setattr(decontamination, "BLOCK_TOKENS", 50)
+    monkeypatch.setattr(decontamination, "CHUNK", 1)
     assert sorted(map(str, decontamination.decontaminate(docs, bench).collect())) == whole
     assert sum("contaminated=True" in r for r in whole) == 2
+    assert [tuple(r) for r in decontamination.without_leaks(docs, bench).collect()] == [(7, "all is clean here, nothing to see")]
+
+
+def naive_overlap(text, item):
+    """Share of the item found in the text: every place and every diagonal tried, in plain Python."""
+    split = lambda t: "".join(c if ord(c) >= 128 or c.isalnum() else " " for c in t.lower()).split()
+    words, own = split(text or ""), split(item or "")
+    if not own:
+        return 0.0
+    if len(own) < 5:
+        return float(any(words[p : p + len(own)] == own for p in range(len(words))))
+    diagonals = {
+        p - q
+        for mask in decontamination.MASKS
+        for p in range(len(words) - mask[-1])
+        for q in range(len(own) - mask[-1])
+        if all(words[p + m] == own[q + m] for m in mask)
+    }
+    held = []
+    for d in sorted(diagonals):
+        hits, kept = [q for q in range(len(own)) if 0 <= q + d < len(words) and words[q + d] == own[q]], set()
+        while hits:
+            score = best = 1
+            end = 0
+            for k in range(1, len(hits)):
+                score += 1 - 2 * (hits[k] - hits[k - 1] - 1)
+                if score < best - decontamination.DROP or score < 0:
+                    break
+                if score > best:
+                    best, end = score, k
+            if end + 1 >= decontamination.LEAST_SEGMENT:
+                kept.update(hits[: end + 1])
+            hits = hits[end + 1 :]
+        if kept:
+            held.append((d, kept))
+    best = 0
+    for d, _ in held:
+        best = max(best, len(set().union(*(s for e, s in held if 0 <= e - d <= max(2, len(own) // 4)))))
+    return best / len(own)
+
+
+def test_decontamination_equals_brute_force(spark):
+    rng = random.Random(11)
+    word = lambda: rng.choice("abcdefgh") + rng.choice("xyz")  # noqa: E731 - few words, so that chance hits are many
+    items = [(k, " ".join(word() for _ in range(rng.randint(3, 24)))) for k in range(25)] + [(25, "so so so so so so so so")]
+    rows = []
+    for k in range(60):
+        own = [word() for _ in range(rng.randint(0, 120))]
+        passage = items[k % 26][1].split()
+        for _ in range(rng.randint(0, len(passage) // 3)):
+            passage[rng.randrange(len(passage))] = word()
+        own[len(own) // 2 : len(own) // 2] = passage
+        rows.append((k, " ".join(own)))
+    rows += [(60, "so " * 400), (61, None)]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = {}
+    for i, text in rows:
+        shares = {str(k): share for k, item in items if (share := naive_overlap(text, item)) >= decontamination.COVERAGE}
+        want[i] = (",".join(sorted(shares)), max(shares.values(), default=0.0))
+    assert {r.doc_id: (r["items"], r.best_overlap) for r in decontamination.decontaminate(docs, bench).collect()} == want
+
+
+def test_long_repetitive_text_is_searched_in_linear_time():
+    items = decontamination.Items([b"alpha beta gamma delta epsilon zeta " * 8])
+    took = []
+    for n in (2000, 8000):
+        words = decontamination.tokens(b"alpha beta gamma delta epsilon zeta " * n)
+        start = time.perf_counter()
+        assert items.search(words) == [(0, 1.0)]
+        took.append(time.perf_counter() - start)
+    assert took[1] < 12 * took[0] + 0.5
 
 
 def test_secrets(spark, odd, none):
