@@ -61,9 +61,10 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quillmark.llm.html_extract import extract
+    from quillmark.llm.html_extract import extract, learn
 
-    return extract(table(spark, sf_dir, "pages"))
+    pages = table(spark, sf_dir, "pages")
+    return extract(pages, learn(pages))
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

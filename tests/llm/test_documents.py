@@ -11,6 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quillmark.llm import chat, decontamination, exact, html_extract, langid, packing, secrets, toxicity
+from tests.llm.labelled_pages import HELD_OUT, PAGES
 
 
 def test_exact(spark, odd, none):
@@ -86,10 +87,54 @@ def test_minimum_cut_equals_all_labellings():
         assert cost(html_extract.min_cut(ends, edges)) == pytest.approx(best)
 
 
+def judged(pages, smooth):
+    """Lines missed, and lines that don't belong."""
+    missed = extra = 0
+    for page, want in pages:
+        got = html_extract.main_text(page, smooth=smooth).split("\n")
+        missed += sum(not any(g.startswith(w) for g in got) for w in want)
+        extra += sum(bool(g) and not any(g.startswith(w) for w in want) for g in got)
+    return missed, extra
+
+
+def test_the_cut_decides():
+    """Lines that are too short to be told by themselves go with their neighbours."""
+    assert judged(PAGES, True) == (0, 0) and judged(PAGES, False)[0] >= 5
+    with_cut, without = judged(HELD_OUT, True), judged(HELD_OUT, False)
+    assert sum(with_cut) < sum(without) and sum(with_cut) <= 1
+
+
+def test_weights_are_fitted_to_labelled_blocks(spark):
+    rng = random.Random(2)
+    some = lambda n: " ".join(rng.choice(("lake", "stone", "river", "above", "light")) for _ in range(n))
+    page = lambda k: f"<nav><a href=a>{some(2)}</a></nav><footer>{some(9)}</footer><main>" + "".join(f"<p>{some(30)}.</p>" for _ in range(k % 4 + 1)) + "</main>"
+    pages = spark.createDataFrame([(page(k),) for k in range(60)] + [(None,)], "html string")
+    weights = html_extract.learn(pages)
+    assert weights == html_extract.learn(pages) != html_extract.DEFAULT and weights[1] > 0 > weights[2]
+    assert html_extract.learn(pages.limit(0)) == html_extract.DEFAULT
+
+
+def test_inline_parts_that_markup_sets_apart_go():
+    page = "<article><p>One long line of the article, <span class='ad'>Buy our pills now</span> which goes on <button>Subscribe</button>to its end.</p><p>Two <math>x = 1</math> and more.</p></article>"
+    assert html_extract.main_text(page) == "One long line of the article, which goes on to its end.\nTwo x = 1 and more."
+    for open_tag in ("<select>", "<svg>", "<noscript>"):  # never closed
+        assert "goes on" in html_extract.main_text(f"<article><p>Before.</p>{open_tag}<p>The article goes on behind it.</p></article>")
+
+
+@pytest.mark.parametrize("page", ["<a b " * 40_000, "<a \"'>" * 30_000, "<div>x" * 30_000, "<i>" * 1000 + "<p>a" * 30_000, "<div>" * 20_000 + "</b>" * 20_000, "<svg>a" * 30_000, "<p>" + "<span class=ad>x</span>y" * 8000])
+def test_hostile_pages_take_linear_time(page):
+    start = time.perf_counter()
+    html_extract.main_text(page)
+    assert time.perf_counter() - start < 10
+
+
 def test_pages(spark):
-    rows = [(1, "u", PAGE, 1), (2, None, None, 1), (None, "u", "", 1)]
-    got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text long")).collect()
-    assert [r.n_chars for r in got if r.page_id == 1][0] > 0 and {r.text for r in got if r.page_id != 1} == {""}
+    rows = [(1, "u", PAGE, 1), (2, None, None, 1), (None, "u", "", 1), (3, "u", "<p>word " * 50_000, 1), (1, "u", PAGE, 1)]
+    schema = "page_id long, url string, html string, text long"
+    got = html_extract.extract(spark.createDataFrame(rows, schema)).collect()
+    assert [r.n_chars for r in got if r.page_id == 1] == [len(html_extract.main_text(PAGE))] * 2
+    assert {r.text for r in got if r.page_id not in (1, 3)} == {""}
+    assert html_extract.extract(spark.createDataFrame([], schema)).collect() == []
 
 
 def test_language(spark, odd, none):
