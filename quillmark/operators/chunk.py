@@ -23,28 +23,32 @@ def paragraphs(body: Column) -> Column:
     return F.filter(F.transform(F.split(body, r"\n[ \t]*\n"), lambda p: F.regexp_replace(p, edge, "")), lambda p: p != "")
 
 
+def once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it occurs: it travels in an array of one."""
+    return F.transform(F.array(value), use)[0]
+
+
 def packed(paras: Column, max_words: int, min_words: int) -> Column:
     """Paragraphs packed greedily into pieces of max_words; a last piece below min_words joins the one before."""
     start = F.struct(F.array().cast("array<string>").alias("out"), F.array().cast("array<string>").alias("buf"), F.lit(0).cast("long").alias("n"))
 
     def add(s: Column, p: Column) -> Column:
-        count = word_count(p)
-        full = (F.size(s["buf"]) > 0) & (s["n"] + count > max_words)
+        full = (F.size(s["buf"]) > 0) & (s["n"] + p["n"] > max_words)
         out = F.when(full, F.concat(s["out"], F.array(F.array_join(s["buf"], "\n\n")))).otherwise(s["out"])
-        buf = F.when(full, F.array(p)).otherwise(F.concat(s["buf"], F.array(p)))
-        return F.struct(out.alias("out"), buf.alias("buf"), F.when(full, count).otherwise(s["n"] + count).alias("n"))
+        buf = F.when(full, F.array(p["p"])).otherwise(F.concat(s["buf"], F.array(p["p"])))
+        return F.struct(out.alias("out"), buf.alias("buf"), F.when(full, p["n"]).otherwise(s["n"] + p["n"]).alias("n"))
 
     def end(s: Column) -> Column:
         rest = F.array_join(s["buf"], "\n\n")
         glued = F.concat(F.slice(s["out"], 1, F.size(s["out"]) - 1), F.array(F.concat(F.element_at(s["out"], -1), F.lit("\n\n"), rest)))
         return F.when(F.size(s["buf"]) == 0, s["out"]).when((F.size(s["out"]) > 0) & (s["n"] < min_words), glued).otherwise(F.concat(s["out"], F.array(rest)))
 
-    return F.aggregate(paras, start, add, end)
+    counted = F.transform(paras, lambda p: F.struct(p.alias("p"), word_count(p).alias("n")))
+    return F.aggregate(counted, start, add, end)
 
 
 def last_words(text: Column, n: int) -> Column:
-    found = words(text)
-    return F.array_join(F.slice(found, -F.least(F.lit(n), F.size(found)), F.lit(n)), " ") if n else F.lit("")
+    return once(words(text), lambda w: F.array_join(F.slice(w, -F.least(F.lit(n), F.size(w)), F.lit(n)), " ")) if n else F.lit("")
 
 
 def chunk_text(docs: DataFrame, max_words: int = 120, overlap: int = 20, min_words: int | None = None) -> DataFrame:
@@ -56,8 +60,7 @@ def chunk_text(docs: DataFrame, max_words: int = 120, overlap: int = 20, min_wor
     pieces = pieces.withColumn("pieces", F.when(F.size("pieces") == 0, F.array(F.lit(""))).otherwise(F.col("pieces")))
 
     def full(piece: Column, i: Column) -> Column:
-        before = last_words(F.get("pieces", i - 1), overlap)
-        lead = F.when((i > 0) & (before != ""), F.concat(F.lit("… "), before))
+        lead = once(last_words(F.get("pieces", i - 1), overlap), lambda before: F.when((i > 0) & (before != ""), F.concat(F.lit("… "), before)))
         return F.array_join(F.array_compact(F.array(F.col("part.heading"), lead, F.nullif(piece, F.lit("")))), "\n\n")
 
     made = pieces.select("doc", "s", F.col("part.heading").alias("heading"), F.posexplode(F.transform("pieces", full)).alias("i", "text"))
@@ -73,13 +76,14 @@ def chunk_paragraphs(docs: DataFrame, max_words: int = 120, min_words: int = 20)
 
 def windows(text: Column, window: int = 400, overlap: int = 50) -> Column:
     """Sliding windows of words, cut from the original text so that inner white space stays."""
-    spans = F.split(text, r"(?U)(?<=\S)(?=\s)")  # each word with the white space in front of it
-    tokens = F.filter(spans, lambda w: w.rlike(r"(?U)\S"))
     step = max(1, window - overlap)
-    count = F.size(tokens)
-    last = F.ceil(F.greatest(count - window, F.lit(0)) / step).cast("int")
-    cut = lambda i: F.regexp_replace(F.array_join(F.slice(tokens, i * step + 1, F.lit(window)), ""), r"(?U)\A\s+|\s+\z", "")
-    return F.when(count == 0, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(0), last), cut))
+
+    def cut(tokens: Column) -> Column:
+        last = F.ceil(F.greatest(F.size(tokens) - window, F.lit(0)) / step).cast("int")
+        one = lambda i: F.regexp_replace(F.array_join(F.slice(tokens, i * step + 1, F.lit(window)), ""), r"(?U)\A\s+", "")
+        return F.when(F.size(tokens) == 0, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(0), last), one))
+
+    return once(F.regexp_extract_all(text, F.lit(r"(?U)\s*\S+"), F.lit(0)), cut)  # each word with the white space in front of it
 
 
 def vault_chunks(notes: DataFrame, max_tokens: int = 800, window: int = 400, overlap: int = 50) -> DataFrame:

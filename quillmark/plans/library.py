@@ -100,7 +100,7 @@ class Library:
         numbered = rows.withColumn("key", F.xxhash64("id")).select(F.col("key").alias("id"), "topic", "text", "embedding")
         pool = retrieve.pool_size(k)
         dense = retrieve.dense_topk(queries, numbered, pool, min_score)
-        words = keyword.best(keyword.bm25(keyword.postings(numbered), keyword.doc_lengths(numbered), queries), "bm", pool, by=("query_id", "topic"))
+        words = keyword.best(keyword.bm25(keyword.postings(numbered), keyword.topic_sizes(numbered), queries), "bm", pool, by=("query_id", "topic"))
         fused = retrieve.fused(retrieve.with_cosine(retrieve.candidates(dense, words), queries, numbered), mode)
         held = rows.select(F.xxhash64("id").alias("key"), F.col("id").alias("name"), "topic", "doc", "text", "meta")
         found = fused.join(held, fused.id == held.key).drop("id", "key").withColumnRenamed("name", "id")

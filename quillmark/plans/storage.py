@@ -9,14 +9,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a temporary folder only where none is set."""
+    """``spark.checkpoint.dir``; on one machine a temporary folder where none is set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quillmark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """A small input that comes in fewer splits than there are cores is dealt out over these; a large one stays as it is."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() * 2 <= cores else rows
+
+
 def materialized(df: DataFrame, tag: str) -> DataFrame:
     """``df`` written as Parquet and read again: lineage ends here, and lost executors lose nothing."""
     path = f"{shared_dir(df.sparkSession)}/quillmark/{tag}-{uuid.uuid4().hex}"

@@ -5,6 +5,7 @@ Rankings break ties by id. Scores are rounded to six places on both sides.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from quillmark.functions import text as T
 from quillmark.functions import vector as V
 from quillmark.operators import chunk, duplicates, graph, keyword, retrieve, sessions, store
+from quillmark.plans.storage import shared_dir, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -61,7 +63,7 @@ def asked(spark: SparkSession, d: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, d: str, topic: str = "source") -> DataFrame:
-    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col(topic).alias("topic"), "text")
+    return spread(table(spark, d, "documents")).select(F.col("doc_id").alias("id"), F.col(topic).alias("topic"), "text")
 
 
 def one_topic(spark: SparkSession, d: str) -> DataFrame:
@@ -156,11 +158,11 @@ def route_topics(spark, d):
     return retrieve.route(asked(spark, d), retrieve.centroids(vectors(spark, d))).withColumn("score", r6(F.col("score")))
 
 
-@query(f"""WITH {_CENTROIDS}, scored AS (SELECT q.vec_id AS query_id, q.label::VARCHAR AS truth, topic, list_inner_product(centroid, q.embedding::DOUBLE[]) AS score FROM middles, (SELECT * FROM embeddings WHERE vec_id % 10 = 0) q),
+@query(f"""WITH {_CENTROIDS}, scored AS (SELECT q.vec_id AS query_id, q.label::VARCHAR AS truth, topic, list_inner_product(centroid, q.embedding::DOUBLE[]) AS score FROM middles, embeddings q),
 best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, topic) AS rn FROM scored)
 SELECT count(*) AS n, round(avg((topic = truth)::INT), 6) AS accuracy FROM best WHERE rn = 1""")
 def routing_accuracy(spark, d):
-    probes = vectors(spark, d).where("id % 10 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("qv"), F.col("topic").alias("truth"))
+    probes = vectors(spark, d).select(F.col("id").alias("query_id"), F.col("embedding").alias("qv"), F.col("topic").alias("truth"))
     routed = retrieve.route(probes.drop("truth"), retrieve.centroids(vectors(spark, d)), m=1)
     top = keyword.best(routed, "score", 1, tie="topic").join(probes.select("query_id", "truth"), "query_id")
     return top.agg(F.count("*").alias("n"), r6(F.avg((F.col("topic") == F.col("truth")).cast("int"))).alias("accuracy"))
@@ -200,13 +202,13 @@ def doc_lengths(spark, d):
 @query(f"""WITH {_bm25("'all'")}, ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm DESC, id) AS rank FROM bm) SELECT query_id, rank, id, round(bm, 6) AS score FROM ranked WHERE rank <= 10""")
 def bm25_topk(spark, d):
     chunks = one_topic(spark, d)
-    return _hits(keyword.best(keyword.bm25(keyword.postings(chunks), keyword.doc_lengths(chunks), questions(spark, d)), "bm", 10), "bm")
+    return _hits(keyword.best(keyword.bm25(keyword.postings(chunks), keyword.topic_sizes(chunks), questions(spark, d)), "bm", 10), "bm")
 
 
 @query(f"""WITH {_bm25("source")}, ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id, topic ORDER BY bm DESC, id) AS rank FROM bm) SELECT query_id, topic, rank, id, round(bm, 6) AS score FROM ranked WHERE rank <= 3""")
 def bm25_topk_per_topic(spark, d):
     chunks = texts(spark, d)
-    found = keyword.best(keyword.bm25(keyword.postings(chunks), keyword.doc_lengths(chunks), questions(spark, d)), "bm", 3, by=("query_id", "topic"))
+    found = keyword.best(keyword.bm25(keyword.postings(chunks), keyword.topic_sizes(chunks), questions(spark, d)), "bm", 3, by=("query_id", "topic"))
     return found.select("query_id", "topic", "rank", "id", r6(F.col("bm")).alias("score"))
 
 
@@ -214,25 +216,25 @@ def bm25_topk_per_topic(spark, d):
 
 
 def _hybrid_parts(spark, d):
-    """Documents that have a vector; the question of item i uses vector 100 * i."""
-    vec = vectors(spark, d).select("id", "embedding", "kind")
-    chunks = one_topic(spark, d).join(vec, "id")
-    asking = questions(spark, d).join(vec.select((F.col("id") / 100).cast("long").alias("query_id"), F.col("embedding").alias("qv"), "id").where("id % 100 = 0").drop("id"), "query_id")
-    return asking, chunks
+    """All documents and all questions, with the deterministic embedding of their texts."""
+    vector = V.hashed_embedding(F.col("text"), 64)
+    return questions(spark, d).withColumn("qv", vector), one_topic(spark, d).withColumn("embedding", vector)
+
+
+_VECTORS = """SELECT id, list(x / n ORDER BY i) AS embedding FROM (SELECT *, sqrt(sum(x * x) OVER (PARTITION BY id)) AS n FROM (SELECT id, i, (('0x' || h[i * 2 + 1 : i * 2 + 2])::INT - 127.5) / 127.5 AS x
+    FROM (SELECT id, sha256(text) || sha256(unhex(sha256(text))) AS h FROM ({})), range(0, 64) t(i))) GROUP BY id"""
 
 
 def _hybrid(spark, d, **how):
     asking, chunks = _hybrid_parts(spark, d)
-    found = retrieve.hybrid(asking, chunks, keyword.postings(chunks), keyword.doc_lengths(chunks), 5, min_score=0.05, **how)
+    found = retrieve.hybrid(asking, chunks, keyword.postings(chunks), keyword.topic_sizes(chunks), 5, min_score=0.05, **how)
     return found.select("query_id", "rank", "id", r6(F.col("cos")).alias("cos"), r6(F.col("bm")).alias("bm"), r6(F.col("fused")).alias("fused"), "via")
 
 
 def _hybrid_sql(score: str, keep: str = "true") -> str:
-    pooled = _bm25("'all'").replace("FROM documents", "FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings)")
-    pooled = pooled.replace("FROM benchmark)", "FROM benchmark WHERE item_id * 100 IN (SELECT vec_id FROM embeddings))")
-    return f"""WITH {pooled},
-qs AS (SELECT item_id AS query_id, embedding AS qv FROM benchmark JOIN embeddings ON vec_id = item_id * 100),
-cs AS (SELECT query_id, vec_id AS id, {_DOT.format('embedding', 'qv')} AS cos FROM qs, embeddings WHERE vec_id IN (SELECT doc_id FROM documents)),
+    docs, asked_ = (_VECTORS.format(x) for x in ("SELECT doc_id AS id, text FROM documents", "SELECT item_id AS id, text FROM benchmark"))
+    return f"""WITH {_bm25("'all'")},
+cs AS (SELECT q.id AS query_id, e.id AS id, round({_DOT.format('e.embedding', 'q.embedding')}, 9) AS cos FROM ({asked_}) q, ({docs}) e),
 dense AS (SELECT query_id, id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cos DESC, id) AS rn FROM cs WHERE cos >= 0.05) WHERE rn <= 20),
 kw AS (SELECT query_id, id, bm FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm DESC, id) AS rn FROM bm) WHERE rn <= 20),
 cand AS (SELECT query_id, id, cos, coalesce(bm, 0) AS bm, dense.id IS NOT NULL AS in_dense, kw.id IS NOT NULL AS in_kw
@@ -272,13 +274,13 @@ def hybrid_keyword_mode(spark, d):
 SELECT query_id, CASE WHEN n < 2 THEN false WHEN s1 - sn <= 0 THEN true ELSE (s1 - s2) / (s1 - sn) < 0.25 END AS contested FROM a""")
 def should_rerank_flag(spark, d):
     asking, chunks = _hybrid_parts(spark, d)
-    return retrieve.should_rerank(retrieve.hybrid(asking, chunks, keyword.postings(chunks), keyword.doc_lengths(chunks), 5, min_score=0.05), 0.25)
+    return retrieve.should_rerank(retrieve.hybrid(asking, chunks, keyword.postings(chunks), keyword.topic_sizes(chunks), 5, min_score=0.05), 0.25)
 
 
 @query(f"""WITH h AS ({_hybrid_sql(_LINEAR).replace('round(cos, 6)', 'cos')}) SELECT query_id, coalesce(cos < 0.3, true) AS refused FROM h WHERE rank = 1""")
 def refuse_below(spark, d):
     asking, chunks = _hybrid_parts(spark, d)
-    return retrieve.refused(retrieve.hybrid(asking, chunks, keyword.postings(chunks), keyword.doc_lengths(chunks), 5, min_score=0.05), 0.3)
+    return retrieve.refused(retrieve.hybrid(asking, chunks, keyword.postings(chunks), keyword.topic_sizes(chunks), 5, min_score=0.05), 0.3)
 
 
 @query(f"""WITH {_bm25("'all'")}, ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm DESC, id) AS rank FROM bm), pool AS (SELECT * FROM ranked WHERE rank <= 20),
@@ -287,7 +289,7 @@ v AS (SELECT query_id, id, before, CASE WHEN len(q) = 0 THEN 0 ELSE len(list_int
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, before) AS rank, id, round(s, 4) AS rerank FROM v QUALIFY rank <= 5""")
 def overlap_rerank(spark, d):
     chunks = one_topic(spark, d)
-    pool = keyword.best(keyword.bm25(keyword.postings(chunks), keyword.doc_lengths(chunks), questions(spark, d)), "bm", 20)
+    pool = keyword.best(keyword.bm25(keyword.postings(chunks), keyword.topic_sizes(chunks), questions(spark, d)), "bm", 20)
     rows = pool.join(chunks.select("id", "text"), "id").join(questions(spark, d).select("query_id", F.col("text").alias("q")), "query_id")
     return retrieve.rerank(rows, 5, T.overlap_score(F.col("q"), F.col("text"))).select("query_id", "rank", "id", "rerank")
 
@@ -297,7 +299,7 @@ m AS (SELECT b.item_id, min(CASE WHEN contains(lower(d.text), lower(b.text)) THE
 SELECT count(*) AS n, round(avg((r IS NOT DISTINCT FROM 1)::INT), 6) AS hit1, round(avg((r IS NOT NULL)::INT), 6) AS hitk, round(avg(coalesce(1.0::DOUBLE / r, 0)), 6) AS mrr FROM m""")
 def eval_metrics(spark, d):
     chunks = one_topic(spark, d)
-    found = keyword.best(keyword.bm25(keyword.postings(chunks), keyword.doc_lengths(chunks), questions(spark, d)), "bm", 5)
+    found = keyword.best(keyword.bm25(keyword.postings(chunks), keyword.topic_sizes(chunks), questions(spark, d)), "bm", 5)
     hits = found.join(chunks.select("id", "text"), "id").withColumn("doc", F.lit("-"))
     report = retrieve.evaluate(hits.withColumn("id", F.lit("-")), questions(spark, d).withColumnRenamed("text", "expect"), 5)
     return report.select("n", *(r6(F.col(c)).alias(c) for c in ("hit1", "hitk", "mrr")))
@@ -418,41 +420,45 @@ def first_chunk(spark, d):
 
 
 def _edges(spark, d):
-    """Suppliers and parts of large line items: weights are quantities as shares of fifty."""
-    rows = table(spark, d, "lineitem").where("l_quantity >= 49")
-    return rows.select(F.concat(F.lit("s"), F.col("l_suppkey")).alias("src"), F.concat(F.lit("p"), F.col("l_partkey")).alias("dst"), F.lower("l_returnflag").alias("relation"), (F.col("l_quantity") / 50.0).cast("double").alias("weight"), F.lit(None).cast("string").alias("source"))
+    """Suppliers and parts of all line items, one edge a pair and relation: the weight is the largest quantity as a share of fifty."""
+    rows = table(spark, d, "lineitem").groupBy("l_suppkey", "l_partkey", "l_returnflag").agg(F.max(F.col("l_quantity") / 50.0).cast("double").alias("weight"))
+    return rows.select(F.concat(F.lit("s"), F.col("l_suppkey")).alias("src"), F.concat(F.lit("p"), F.col("l_partkey")).alias("dst"), F.lower("l_returnflag").alias("relation"), "weight", F.lit(None).cast("string").alias("source"))
+
+
+def _starts(spark, d):
+    """Stated query set: every supplier whose number is divisible by 100."""
+    return table(spark, d, "supplier").where("s_suppkey % 100 = 0").select(F.concat(F.lit("s"), F.col("s_suppkey")).alias("start"))
 
 
-_E = "e AS (SELECT 's' || l_suppkey AS src, 'p' || l_partkey AS dst, lower(l_returnflag) AS relation, (l_quantity / 50.0)::DOUBLE AS weight FROM lineitem WHERE l_quantity >= 49), mv AS (SELECT src AS here, dst AS other, relation, weight FROM e UNION ALL SELECT dst, src, relation, weight FROM e)"
+_E = """e AS (SELECT 's' || l_suppkey AS src, 'p' || l_partkey AS dst, lower(l_returnflag) AS relation, max((l_quantity / 50.0)::DOUBLE) AS weight FROM lineitem GROUP BY 1, 2, 3),
+mv AS (SELECT src AS here, dst AS other, relation, weight FROM e UNION ALL SELECT dst, src, relation, weight FROM e)"""
 
 
-@query(f"""WITH {_E}, st AS (SELECT DISTINCT src AS start FROM e WHERE src IN ('s1', 's2', 's3')),
+@query(f"""WITH {_E}, st AS (SELECT 's' || s_suppkey AS start FROM supplier WHERE s_suppkey % 100 = 0),
 h1 AS (SELECT start, other AS node, relation, max(weight) AS weight FROM st JOIN mv ON here = start WHERE other <> start GROUP BY 1, 2, 3),
 h2 AS (SELECT f.start, other AS node, mv.relation, max(mv.weight) AS weight FROM (SELECT DISTINCT start, node FROM h1) f JOIN mv ON here = f.node WHERE other <> f.start AND NOT EXISTS (SELECT 1 FROM h1 x WHERE x.start = f.start AND x.node = other) GROUP BY 1, 2, 3)
 SELECT *, 1::BIGINT AS hops FROM h1 UNION ALL SELECT *, 2::BIGINT FROM h2""")
 def bfs_neighbours(spark, d):
-    edges = _edges(spark, d)
-    return graph.neighbours(edges, edges.where("src in ('s1', 's2', 's3')").select(F.col("src").alias("start")), depth=2)
+    return graph.neighbours(_edges(spark, d), _starts(spark, d), depth=2)
 
 
-@query(f"""WITH {_E}, docs AS (SELECT DISTINCT src AS doc FROM e WHERE src IN ('s1', 's2', 's3', 's4', 's5')),
+@query(f"""WITH {_E}, docs AS (SELECT DISTINCT src AS doc FROM e),
 f AS (SELECT doc, other AS node, relation AS r1, weight AS w1 FROM mv JOIN docs ON here = doc WHERE other NOT IN (SELECT doc FROM docs))
 SELECT f.doc, mv.other, r1 || '→' || f.node || '→' || mv.relation AS relation, round(0.5 * w1 * mv.weight, 6) AS weight FROM f JOIN mv ON mv.here = f.node JOIN docs d2 ON d2.doc = mv.other WHERE mv.other <> f.doc""")
 def entity_bridges(spark, d):
     edges = _edges(spark, d)
-    docs = edges.where("src in ('s1', 's2', 's3', 's4', 's5')").select(F.col("src").alias("doc"))
-    return graph.bridges(edges, docs).withColumn("weight", r6(F.col("weight")))
+    return graph.bridges(edges, edges.select(F.col("src").alias("doc")).distinct()).withColumn("weight", r6(F.col("weight")))
 
 
 @query(f"""WITH {_PAIRS}, near AS (SELECT query_id AS doc, id AS other, 0.6 * greatest(cos, 0) AS s, 0 AS g FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cos DESC, id) AS rn FROM pairs WHERE id <> query_id) WHERE rn <= 20),
-links AS (SELECT q.vec_id AS doc, e.vec_id AS other, 0.4 * 0.5 AS s, 1 AS g FROM embeddings q JOIN embeddings e ON e.label = q.label AND e.vec_id <> q.vec_id AND e.vec_id % 50 = 0 WHERE q.vec_id % 100 = 0),
+links AS (SELECT q.vec_id AS doc, e.vec_id AS other, 0.4 * 0.5 AS s, 1 AS g FROM embeddings q JOIN embeddings e ON e.label = q.label AND e.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0),
 a AS (SELECT doc, other, sum(s) AS related, max(g) AS g FROM (SELECT * FROM near UNION ALL SELECT * FROM links) GROUP BY 1, 2)
 SELECT doc, other, round(related, 6) AS related, CASE WHEN g = 1 THEN 'graph' ELSE 'vector' END AS via, row_number() OVER (PARTITION BY doc ORDER BY related DESC, other) AS rank FROM a QUALIFY rank <= 5""")
 def related_blend(spark, d):
     near = retrieve.dense_topk(asked(spark, d), vectors(spark, d), 20, exclude_self=True).select(F.col("query_id").alias("doc"), F.col("id").alias("other"), "cos")
     v = vectors(spark, d)
     left = v.where("id % 100 = 0").select(F.col("id").alias("doc"), "topic")
-    right = v.where("id % 50 = 0").select(F.col("id").alias("other"), "topic")
+    right = v.select(F.col("id").alias("other"), "topic")
     paths = left.join(right, "topic").where("doc <> other").select("doc", "other", F.lit(0.5).alias("weight"))
     return graph.related(near, paths).withColumn("related", r6(F.col("related")))
 
@@ -466,9 +472,9 @@ def entity_counts(spark, d):
     return found.groupBy("entity").agg(F.count("*").alias("n")).where("n >= 2")
 
 
-@query(r"""SELECT doc_id AS id, trim(regexp_replace(lower(trim(text[1:80])), '[^0-9a-z_.-]+', '-', 'g'), '-._') AS slug FROM documents""")
+@query(r"""SELECT doc_id AS id, trim(regexp_replace(lower(trim(text)), '[^0-9a-z_.-]+', '-', 'g'), '-._') AS slug FROM documents""")
 def slugify(spark, d):
-    return texts(spark, d).select("id", F.coalesce(T.topic_slug(F.substring("text", 1, 80)), F.lit("")).alias("slug"))
+    return texts(spark, d).select("id", F.coalesce(T.topic_slug(F.col("text")), F.lit("")).alias("slug"))
 
 
 @query(r"""SELECT conv_id, turn, list_filter(list_distinct(list_transform(regexp_extract_all(text || ' [1] and [n2], not [9]', '\[n?\s*([0-9]+)\]', 1), lambda n: n::BIGINT)), lambda n: n BETWEEN 1 AND 3).list_sort() AS cited FROM conversations""")
@@ -490,10 +496,6 @@ def hashed_embedding(spark, d):
 @query("SELECT event_type AS action, count(*) AS n FROM events GROUP BY 1")
 def stream_counts(spark, d):
     """A stream over the events, aggregated by type, drained into a table."""
-    import uuid
-
-    from quillmark.plans.storage import shared_dir
-
     where = f"{shared_dir(spark)}/quillmark/stream-{uuid.uuid4().hex}"
     rows = spark.readStream.schema(table(spark, d, "events").schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet*")
     run = rows.select("event_type", "event_id").writeStream.format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start()
