@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from quillmark.functions.text import overlap_score
 from quillmark.functions.vector import hashed_embedding
 
-KNOWN_DIMS = {"nomic-embed-text": 768, "mxbai-embed-large": 1024, "all-minilm": 384}
+#: Dimensions of some public models, so that they needn't be given.
+SIZES = {"all-minilm": 384, "nomic-embed-text": 768, "mxbai-embed-large": 1024}
+SERVER = "http://localhost:11434"
 
 
 class ModelError(RuntimeError):
@@ -57,9 +59,9 @@ def _unit(v: list[float]) -> list[float]:
     return [x / length for x in v] if length else v
 
 
-def http(model: str, dim: int | None = None, url: str = "http://localhost:11434", timeout: float = 60.0, batch: int = 16, post=_post) -> Embedder:
+def http(model: str, dim: int | None = None, url: str = SERVER, timeout: float = 90.0, batch: int = 16, post=_post) -> Embedder:
     """An embedding server; texts go in requests of ``batch``. Replies are checked for number and dimension."""
-    size = dim or KNOWN_DIMS[model]
+    size = dim or SIZES[model]
 
     @F.pandas_udf("array<double>")
     def embed(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -76,12 +78,11 @@ def http(model: str, dim: int | None = None, url: str = "http://localhost:11434"
 
 def embedder(spec: str) -> Embedder:
     """``hashed``, ``hashed:64`` or ``http:model``."""
-    kind, _, arg = spec.partition(":")
-    if kind == "hashed":
-        return hashed(int(arg or 384))
-    if kind == "http":
-        return http(arg or "nomic-embed-text")
-    raise ValueError(f"unknown embedder {spec!r}")
+    name, rest = (spec.split(":", 1) + [""])[:2]
+    made = {"hashed": lambda: hashed(int(rest or 384)), "http": lambda: http(rest or "nomic-embed-text")}
+    if name not in made:
+        raise ValueError(f"{spec!r} names no embedder; there are {', '.join(made)}")
+    return made[name]()
 
 
 Reranker = Callable[[Column, Column], Column]
@@ -114,3 +115,66 @@ def chat(reply: Callable[[str], str]) -> Callable[[Column], Column]:
             yield prompts.map(reply)
 
     return lambda prompt: run(prompt)
+
+
+def cross_encoder(load: Callable[[], object], most_chars: int = 2000, batch: int = 32) -> Reranker:
+    """A cross-encoder as a reranker. ``load`` gives a model with ``predict(pairs)``; each worker calls it once and keeps the model."""
+
+    @F.pandas_udf("double")
+    def scored(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        key = f"{load.__module__}.{load.__qualname__}"
+        if key not in _LOADED:
+            _LOADED[key] = load()
+        for queries, texts in parts:
+            pairs = [(q, (t or "")[:most_chars]) for q, t in zip(queries, texts)]
+            scores = [float(x) for at in range(0, len(pairs), batch) for x in _LOADED[key].predict(pairs[at : at + batch])]
+            if len(scores) != len(pairs):
+                raise ModelError(f"{len(pairs)} pairs gave {len(scores)} scores")
+            yield pd.Series(scores, dtype="float64")
+
+    return lambda q, t: scored(q, t)
+
+
+_LOADED: dict[str, object] = {}
+
+
+def _lines(url: str, body: dict, timeout: float) -> Iterator[dict]:
+    request = urllib.request.Request(url, json.dumps(body).encode(), {"Content-Type": "application/json"})
+    with urllib.request.urlopen(request, timeout=timeout) as reply:
+        for line in reply:
+            if line.strip():
+                yield json.loads(line)
+
+
+@dataclass(frozen=True)
+class ChatServer:
+    """A chat model behind HTTP, at temperature 0. ``reply`` gives the whole answer, ``tokens`` piece by piece."""
+
+    model: str
+    url: str = SERVER
+    timeout: float = 600.0
+    system: str | None = None
+    post: Callable[[str, dict, float], dict] = _post
+    lines: Callable[[str, dict, float], Iterator[dict]] = _lines
+
+    def _body(self, prompt: str, stream: bool, **options) -> dict:
+        said = [{"role": "system", "content": self.system}] if self.system else []
+        return {"model": self.model, "messages": [*said, {"role": "user", "content": prompt}], "stream": stream, "options": {"temperature": 0, **options}}
+
+    def reply(self, prompt: str, **options) -> str:
+        found = self.post(f"{self.url}/api/chat", self._body(prompt, False, **options), self.timeout)
+        if not isinstance(text := (found.get("message") or {}).get("content"), str):
+            raise ModelError(f"{self.model} gave no answer")
+        return text
+
+    def tokens(self, prompt: str, **options) -> Iterator[str]:
+        """The answer as it comes; it runs on the driver, for one prompt."""
+        for part in self.lines(f"{self.url}/api/chat", self._body(prompt, True, **options), self.timeout):
+            if text := (part.get("message") or {}).get("content"):
+                yield text
+            if part.get("done"):
+                return
+
+    def column(self) -> Callable[[Column], Column]:
+        """A column function from prompts to replies, for many prompts at once."""
+        return chat(self.reply)

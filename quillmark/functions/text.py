@@ -70,14 +70,32 @@ def coerce_tags(tags: Column) -> Column:
     return F.filter(F.transform(F.split(F.coalesce(tags, F.lit("")), ","), lambda t: F.regexp_replace(F.trim(t), "^#+", "")), lambda t: t != "")
 
 
+#: A YAML block whose top level is a mapping: keys with values, nested or listed lines below them, comments.
+_YAML = r"(?:(?:[A-Za-z_][^:\n]*:(?:[ \t][^\n]*)?|[ \t]+[^\n]*|-[ \t][^\n]*|#[^\n]*|[ \t]*)(?:\n|\z))*"
+
+
+def _block(raw: Column) -> Column:
+    """What is between the marks at the top of a note, if it is a YAML mapping; else the empty string."""
+    found = F.regexp_extract(raw, r"(?s)\A---\n(.*?)\n---(?:\n|\z)", 1)
+    open_ = F.regexp_count(found, F.lit(r"(?m)^[^#\n]*:[ \t]*[\[{][^\]}\n]*$"))  # a list or mapping that isn't closed
+    fine = found.rlike(rf"\A{_YAML}\z") & found.rlike(r"(?m)^[A-Za-z_][^:\n]*:") & (open_ == 0)
+    return F.when(fine, found).otherwise(F.lit(""))
+
+
 def frontmatter(raw: Column) -> Column:
     """The YAML block at the top of a note, or the empty string."""
-    return F.regexp_extract(raw, r"(?s)\A---\n(.*?)\n---(?:\n|\z)", 1)
+    return _block(raw)
 
 
 def body(raw: Column) -> Column:
-    """A note without its YAML block."""
-    return F.regexp_replace(raw, r"(?s)\A---\n.*?\n---(?:\n|\z)", "")
+    """A note without its YAML block; a block that isn't a mapping is part of the text."""
+    return F.when(_block(raw) == "", raw).otherwise(F.regexp_replace(raw, r"(?s)\A---\n.*?\n---(?:\n|\z)", ""))
+
+
+def stamp(seconds: Column, form: str = "second") -> Column:
+    """A UTC time stamp: ``compact`` (20240131T235959), ``second`` (2024-01-31T23:59:59Z) or ``micro``, which sorts by time."""
+    forms = {"compact": "yyyyMMdd'T'HHmmss", "second": "yyyy-MM-dd'T'HH:mm:ss'Z'", "micro": "yyyyMMdd'T'HHmmssSSSSSS"}
+    return F.date_format(F.timestamp_micros((seconds * 1_000_000).cast("long")), forms[form])
 
 
 def unix_lines(raw: Column) -> Column:

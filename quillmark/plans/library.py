@@ -12,10 +12,8 @@ from pyspark.sql import functions as F
 
 from quillmark.functions import text as T
 from quillmark.functions.models import Embedder, chat, hashed, reranker
-from quillmark.operators import chunk, graph, keyword, retrieve, sessions, store
+from quillmark.operators import chunk, duplicates, enrich, graph, keyword, retrieve, sessions, store
 
-#: Above so many chunks an ask is routed to the topics nearest to it unless told otherwise.
-ROUTE_ABOVE = 50_000
 CHUNKS = "id string, topic string, doc string, idx long, heading string, text string, hash string, meta string, ts double, deleted boolean, archived boolean, embedding array<double>"
 
 
@@ -46,8 +44,12 @@ class Library:
 
     # --- changes ---
 
-    def add(self, topic: str, docs: DataFrame) -> Library:
-        """Documents ``doc, text`` chunked and merged: unchanged chunks keep their vectors, vanished ones get tombstones."""
+    def add(self, topic: str, docs: DataFrame, reply: Callable[[Column], Column] | None = None) -> Library:
+        """Documents ``doc, text`` chunked and merged: unchanged chunks keep their vectors and entities, vanished ones get tombstones.
+
+        What vanished or changed chunks said leaves the graph. With ``reply``, a model's answers to prompts, entities
+        and relations of new chunks are found and linked.
+        """
         name = slug(topic)
         parts = chunk.chunk_text(docs, self.chunk_words, self.overlap)
         key = F.concat(F.lit(name + "/"), T.chunk_id(F.col("doc"), F.col("idx")))
@@ -58,9 +60,15 @@ class Library:
         merged = merged.withColumns({"topic": F.lit(name), "doc": F.coalesce("d", "doc"), "idx": F.coalesce("i", "idx"), "heading": F.coalesce("h", "heading"), "archived": F.coalesce("archived", F.lit(False))})
         gone = store.stale(mine, new).select("id")
         rows = store.removed(merged.select(self.chunks.columns), gone)
-        links = graph.link_edges(docs)
-        changed = gone.select(F.col("id").alias("source"))
-        return self._with(self.chunks.where(F.col("topic") != name).unionByName(rows), graph.link(graph.drop_sources(self.edges, changed), links))
+        before = mine.where("not deleted").select("id", F.col("hash").alias("before"))
+        changed = before.join(rows.where("not deleted").select("id", "hash"), "id", "left").where("hash is null or hash <> before").select(F.col("id").alias("source"))
+        edges = self.edges
+        if reply is not None:
+            found = enrich.extracted(rows, reply)
+            rows = enrich.with_entities(rows, found)
+            edges = graph.link(edges, enrich.relations(found))
+        whole = self.chunks.where(F.col("topic") != name).unionByName(rows)
+        return self._with(whole, graph.link(enrich.pruned(edges, whole, changed), graph.link_edges(docs)))
 
     def forget(self, topic: str, doc: str) -> Library:
         mine = (F.col("topic") == slug(topic)) & (F.col("doc") == doc)
@@ -87,25 +95,32 @@ class Library:
         rows = self.spark.createDataFrame([(k, t) for k, t in enumerate(texts) if t and t.strip()], "query_id long, text string")
         return rows.withColumn("qv", self.embedder.apply(F.col("text")))
 
-    def ask(self, queries: DataFrame, k: int = 5, mode: str = "hybrid", topics: list[str] | None = None, min_score: float = 0.3, entity: Column | None = None, route: bool | None = None, rerank=None, margin: float | None = None) -> DataFrame:
+    def ask(
+        self, queries: DataFrame, k: int = 5, mode: str = "hybrid", topics: list[str] | None = None, min_score: float = 0.3, entity: str | Column | None = None,
+        route: bool = False, rerank=None, margin: float | None = None, archived: bool = False, index: tuple[DataFrame, DataFrame] | None = None,
+    ) -> DataFrame:
         """``query_id, rank, id, topic, doc, text, cos, fused, via`` of the k best chunks for each query.
 
-        Keyword statistics are each topic's own, scores are scaled over the union of all candidates. With a reranker
-        only contested pools are scored again, if a margin is given.
+        Keyword statistics are each topic's own, scores are scaled over the union of all candidates: the best of every
+        topic and leg. With ``route`` a query sees only the topics nearest to it. ``entity`` keeps hits that name it.
+        With a reranker only contested pools are scored again, if a margin is given. ``index`` is a stored keyword
+        index of just these chunks. k below 1, no queries and no chunks give no rows.
         """
-        rows = self.live(topics)
-        if route or route is None and topics is None and rows.count() > ROUTE_ABOVE:
-            routed = retrieve.route(queries.select("query_id", "qv"), retrieve.centroids(rows)).where("chosen")
-            rows = rows.join(routed.select("topic").distinct(), "topic", "left_semi")
+        rows = self.live(topics, archived)
+        k = max(0, int(k))
         numbered = rows.withColumn("key", F.xxhash64("id")).select(F.col("key").alias("id"), "topic", "text", "embedding")
         pool = retrieve.pool_size(k)
-        dense = retrieve.dense_topk(queries, numbered, pool, min_score)
-        words = keyword.best(keyword.bm25(keyword.postings(numbered), keyword.topic_sizes(numbered), queries), "bm", pool, by=("query_id", "topic"))
+        posts, sizes = index or (keyword.postings(numbered), keyword.topic_sizes(numbered))
+        dense = retrieve.dense_topk(queries, numbered, pool, min_score, per_topic=True)
+        words = keyword.best(keyword.bm25(posts, sizes, queries), "bm", pool, by=("query_id", "topic"))
+        if route:
+            near = retrieve.route(queries.select("query_id", "qv"), retrieve.centroids(rows)).where("chosen").select("query_id", "topic")
+            dense, words = (leg.join(near, ["query_id", "topic"], "left_semi") for leg in (dense, words))
         fused = retrieve.fused(retrieve.with_cosine(retrieve.candidates(dense, words), queries, numbered), mode)
         held = rows.select(F.xxhash64("id").alias("key"), F.col("id").alias("name"), "topic", "doc", "text", "meta")
         found = fused.join(held, fused.id == held.key).drop("id", "key").withColumnRenamed("name", "id")
         if entity is not None:
-            found = found.where(entity)
+            found = found.where(enrich.has_entity(F.col("meta"), entity) if isinstance(entity, str) else entity)
         score = reranker(rerank)
         if score is None:
             return keyword.best(found, "fused", k)
@@ -129,9 +144,33 @@ class Library:
         direct = graph.both_ways(self.edges).select(F.col("at").alias("doc"), "other", "weight").join(docs, "doc").join(docs.withColumnRenamed("doc", "other"), "other").select("doc", "other", "weight")
         return graph.related(pairs.select("doc", "other", "cos"), direct.unionByName(graph.bridges(self.edges, docs).select("doc", "other", "weight")), k, alpha)
 
-    def answer(self, queries: DataFrame, reply: Callable[[str], str], k: int = 4, refuse_below: float | None = None, max_words: int = 600) -> DataFrame:
+    def duplicates(self, threshold: float = 0.95, topics: list[str] | None = None) -> DataFrame:
+        """``id, cluster, size`` of live chunks whose vectors are that close to another's."""
+        rows = self.live(topics, archived=True).withColumn("key", F.xxhash64("id"))
+        found = duplicates.clusters(rows.select(F.col("key").alias("id"), "embedding"), threshold)
+        names = rows.select("key", F.col("id").alias("name"))
+        heads = names.select(F.col("key").alias("cluster"), F.col("name").alias("head"))
+        return found.join(names, found.id == names.key).join(heads, "cluster").select(F.col("name").alias("id"), F.col("head").alias("cluster"), "size")
+
+    def entities(self, topics: list[str] | None = None) -> DataFrame:
+        return enrich.entity_counts(self.live(topics, archived=True))
+
+    def has_doc(self, topic: str, doc: str) -> bool:
+        return not self.live([topic]).where(F.col("doc") == doc).isEmpty()
+
+    def neighbours(self, starts: list[str], **how) -> DataFrame:
+        return graph.neighbours(self.edges, self.spark.createDataFrame([(s,) for s in starts], "start string"), **how)
+
+    def link(self, src: str, dst: str, relation: str = "related", weight: float = 1.0) -> Library:
+        new = self.spark.createDataFrame([(src, dst, relation, weight, None)], graph.EDGES)
+        return self._with(edges=graph.link(self.edges, new))
+
+    def unlink(self, src: str, dst: str, relation: str | None = None) -> Library:
+        return self._with(edges=graph.unlink(self.edges, src, dst, relation))
+
+    def answer(self, queries: DataFrame, reply: Callable[[str], str], k: int = 4, refuse_below: float | None = None, max_words: int = 600, **how) -> DataFrame:
         """``query_id, answer, cited, refused``: grounded replies with checked citations; refused ones ask no model."""
-        hits = self.ask(queries, k)
+        hits = self.ask(queries, k, **how)
         block = sessions.context(hits.withColumn("score", F.col("cos")), max_words)
         count = hits.groupBy("query_id").agg(F.count("*").alias("n"), F.max(F.when(F.col("rank") == 1, F.col("cos"))).alias("top"))
         rows = queries.select("query_id", F.col("text").alias("question")).join(block, "query_id", "left").join(count, "query_id", "left")
@@ -144,36 +183,72 @@ class Library:
 
 
 TOOLS = {
-    "recall": {"query": str, "topic": str, "k": int},
-    "remember": {"text": str, "topic": str, "name": str},
-    "forget": {"topic": str, "doc": str},
-    "topics": {},
+    "recall": ("Find what was kept about a question.", {"query": str, "topic": str, "k": int}, ("query",)),
+    "remember": ("Keep a text in a topic.", {"text": str, "topic": str, "name": str}, ("text", "topic")),
+    "forget": ("Drop a document of a topic.", {"topic": str, "doc": str}, ("topic", "doc")),
+    "topics": ("List the topics with their numbers of documents.", {}, ()),
+    "answer": ("Answer a question from what was kept, with sources.", {"query": str, "topic": str, "k": int}, ("query",)),
 }
-NEEDED = {"recall": ("query",), "remember": ("text", "topic"), "forget": ("topic", "doc"), "topics": ()}
+_KINDS = {str: "string", int: "integer"}
+
+
+def schemas(shape: str = "input") -> list[dict]:
+    """The tools' JSON schemas: with ``input_schema``, or (``function``) wrapped as functions with ``parameters``."""
+    out = []
+    for name, (about, fields, needed) in TOOLS.items():
+        schema = {"type": "object", "properties": {f: {"type": _KINDS[t]} for f, t in fields.items()}, "required": list(needed), "additionalProperties": False}
+        if shape == "function":
+            out.append({"type": "function", "function": {"name": name, "description": about, "parameters": schema}})
+        else:
+            out.append({"name": name, "description": about, "input_schema": schema})
+    return out
 
 
 class Tools:
     """JSON verbs over a library, for an agent: bounded answers, errors that name what is wrong."""
 
-    def __init__(self, library: Library):
-        self.library = library
+    def __init__(self, library: Library, reply: Callable[[str], str] | None = None):
+        self.library, self.reply = library, reply
 
-    def dispatch(self, name: str, args: dict) -> dict:
+    def dispatch(self, name: str, args: dict | None = None) -> dict:
+        args = args or {}
         if name not in TOOLS:
             raise KeyError(f"no tool {name!r}; there are {', '.join(sorted(TOOLS))}")
-        if missing := [a for a in NEEDED[name] if a not in args]:
+        _, fields, needed = TOOLS[name]
+        if missing := [a for a in needed if a not in args]:
             raise ValueError(f"{name} needs {', '.join(missing)}")
-        if unknown := [a for a in args if a not in TOOLS[name]]:
+        if unknown := [a for a in args if a not in fields]:
             raise ValueError(f"{name} has no argument {', '.join(unknown)}")
-        if wrong := [a for a, v in args.items() if not isinstance(v, TOOLS[name][a])]:
+        args = {a: self._k(v) if a == "k" else v for a, v in args.items()}
+        if wrong := [a for a, v in args.items() if not isinstance(v, fields[a])]:
             raise ValueError(f"{name} has arguments of the wrong kind: {', '.join(wrong)}")
         return getattr(self, f"_{name}")(**args)
 
+    @staticmethod
+    def _k(value) -> int:
+        """A number of hits, from 1 to 50; whole numbers in other dress are taken as such."""
+        if isinstance(value, bool) or not re.fullmatch(r"\s*-?\d+(\.0*)?\s*", str(value)):
+            raise ValueError(f"k must be a whole number, not {value!r}")
+        return min(max(1, int(float(value))), 50)
+
+    def _topic(self, name: str) -> str:
+        """A topic by any spelling of its name."""
+        known = {r["topic"]: r["archived"] for r in self.library.catalog().collect()}
+        if (found := slug(name)) not in known:
+            raise KeyError(f"no topic {name!r}; there are {', '.join(sorted(known)) or 'none'}")
+        return found
+
     def _recall(self, query: str, topic: str | None = None, k: int = 5) -> dict:
-        found = self.library.ask(self.library.questions([query]), min(max(1, k), 50), topics=[topic] if topic else None)
-        rows = found.orderBy("rank").select("id", "doc", "text", F.round("cos", 4).alias("score"), "via").collect()
+        found = self.library.ask(self.library.questions([query]), k, topics=[self._topic(topic)] if topic else None)
+        rows = found.orderBy("rank").select("id", "topic", "doc", "text", F.round("cos", 4).alias("score"), "via").collect()
         return {"hits": [r.asDict() for r in rows]}
 
+    def _answer(self, query: str, topic: str | None = None, k: int = 4) -> dict:
+        if self.reply is None:
+            raise ValueError("answer needs a chat model")
+        row = self.library.answer(self.library.questions([query]), self.reply, k, topics=[self._topic(topic)] if topic else None).first()
+        return {"answer": row["answer"], "cited": row["cited"], "refused": row["refused"]} if row else {"answer": None, "cited": [], "refused": True}
+
     def _remember(self, text: str, topic: str, name: str | None = None) -> dict:
         from quillmark.sources.files import from_text
 
@@ -181,7 +256,7 @@ class Tools:
         return {"topic": slug(topic)}
 
     def _forget(self, topic: str, doc: str) -> dict:
-        self.library = self.library.forget(topic, doc)
+        self.library = self.library.forget(self._topic(topic), doc)
         return {"topic": slug(topic), "doc": doc}
 
     def _topics(self) -> dict:

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import os
+import time
 from collections.abc import Callable
+from datetime import UTC, datetime
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -68,3 +73,54 @@ def file_entries(chunks: DataFrame) -> DataFrame:
 
 def remove_entries(paths: DataFrame) -> DataFrame:
     return paths.select(F.lit("remove").alias("op"), "path", F.lit(None).cast(f"array<{CHUNK}>").alias("chunks"))
+
+
+def names_in_order(folder: str | Path) -> list[str]:
+    """Pending files by name, which is the order they were written in."""
+    return sorted(p.name for p in Path(folder).glob("*.jsonl"))
+
+
+def write(folder: str | Path, entries: list[dict]) -> Path | None:
+    """Put entries into the spool as one file, which is there whole or not at all. No entries, no file.
+
+    Names begin with the time in UTC down to microseconds, so they sort in the order of writing. A file's modification
+    time is its name's, so that a stream, which goes by that, takes files in the same order.
+    """
+    if not entries:
+        return None
+    Path(folder).mkdir(parents=True, exist_ok=True)
+    now = time.time_ns() // 1000
+    while True:
+        stamp = datetime.fromtimestamp(now / 1e6, UTC).strftime("%Y%m%dT%H%M%S%f")
+        path = Path(folder, f"{stamp}.jsonl")
+        if not path.exists():
+            break
+        now += 1
+    temp = path.with_suffix(".tmp")
+    with temp.open("w", encoding="utf-8") as f:
+        f.writelines(json.dumps(e, ensure_ascii=False) + "\n" for e in entries)
+        f.flush()
+        os.fsync(f.fileno())
+    os.utime(temp, ns=(now * 1000, now * 1000))
+    os.replace(temp, path)
+    return path
+
+
+def done(folder: str | Path, name: str) -> None:
+    """Mark a file as applied."""
+    os.replace(Path(folder, name), Path(folder, name + ".done"))
+
+
+def swept(folder: str | Path, seconds: float = 24 * 3600.0, now: float | None = None) -> int:
+    """Delete files that were applied so long ago; gives their number."""
+    before, n = (time.time() if now is None else now) - seconds, 0
+    for p in Path(folder).glob("*.done"):
+        if p.stat().st_mtime <= before:
+            p.unlink()
+            n += 1
+    return n
+
+
+def ids_by_path(table: DataFrame) -> DataFrame:
+    """``path, ids``: the state that changes are held against, derived from the table, so that it is never out of step."""
+    return table.groupBy("path").agg(F.array_sort(F.collect_set("id")).alias("ids"))

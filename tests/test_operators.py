@@ -87,9 +87,13 @@ def test_versions_survive_a_crash(spark, tmp_path):
     assert table.read().count() == 3 and table.commit(data.limit(1)) == 2
     with pytest.raises(store.StoreError):
         store.VersionedTable(spark, str(tmp_path / "s"), dim=8).read()
-    (tmp_path / "s" / ".lock").touch()
-    with pytest.raises(store.StoreError):
+    (tmp_path / "s" / ".lock").touch()  # left by a process that is gone
+    assert table.commit(data) == 3 and sorted(p.name for p in (tmp_path / "s").glob("v*")) == ["v2", "v3"]
+    with store.Lock(tmp_path / "s"), pytest.raises(store.StoreError, match="another writer"):
         table.commit(data)
+    (tmp_path / "s" / "manifest.json").write_text('{"version": 3, "embedder": "hashed", "dim": 4, "n": 77, "ts": 0}')
+    with pytest.raises(store.StoreError, match="77"):
+        table.read()
 
 
 def test_library_round(spark):
@@ -111,7 +115,7 @@ def test_library_round(spark):
 def test_bm25_prefers_rare_terms(spark):
     texts = ["manifest is written last", "manifest.json is the atomic commit point", "tombstoned 20% of rows", "other words", "the manifest"]
     chunks = spark.createDataFrame([("t", i, x) for i, x in enumerate(texts)], "topic string, id long, text string")
-    posts, sizes = keyword.postings(chunks), keyword.doc_lengths(chunks)
+    posts, sizes = keyword.postings(chunks), keyword.topic_sizes(chunks)
 
     def top(q):
         asked = spark.createDataFrame([(0, q)], "query_id long, text string")
