@@ -76,12 +76,13 @@ def _scaled(m: np.ndarray) -> np.ndarray:
     return m / np.maximum(m.sum(axis=tuple(range(1, m.ndim)), keepdims=True), 1e-300)
 
 
-def marginals(scores: np.ndarray, lengths: np.ndarray, moves: np.ndarray) -> np.ndarray:
+def marginals(scores: np.ndarray, lengths: np.ndarray, moves: np.ndarray, messages: np.ndarray | None = None) -> np.ndarray:
     """Forward-backward over several texts at once: each word's distribution over labels.
 
     ``scores``: words by labels, the texts one after the other; ``moves``: log transition weights. Long texts are
     cut into segments whose transfer matrices are computed side by side and then chained, so the result is that of
-    one pass over the whole text and the number of steps doesn't grow with the longest one.
+    one pass over the whole text and the number of steps doesn't grow with the longest one. ``messages`` takes up the
+    forward messages, if given.
     """
     labels, n = scores.shape[1], len(scores)
     if not n:
@@ -120,6 +121,8 @@ def marginals(scores: np.ndarray, lengths: np.ndarray, moves: np.ndarray) -> np.
     for k in range(SEGMENT - 1, -1, -1):
         live = valid[:, k]
         out[place[live, k]] = _scaled(forward[live, k] * now[live])
+        if messages is not None:
+            messages[place[live, k]] = forward[live, k]
         now = np.where(live[:, None], _scaled((now * e[:, k]) @ step.T), now)
     return out
 
@@ -172,14 +175,15 @@ def fit(samples: list[tuple[str, str]], rounds: int = ROUNDS) -> Field:
     k = len(labels)
     w, moves = np.zeros((len(used), k)), np.zeros((k, k))
     m, v, mm, vm = np.zeros_like(w), np.zeros_like(w), np.zeros_like(moves), np.zeros_like(moves)
+    messages = np.zeros((len(flat), k))
     inside = np.ones(len(flat), bool)
     inside[np.cumsum(lengths) - lengths] = False
     seen = np.zeros((k, k))
     np.add.at(seen, (gold[:-1][inside[1:]], gold[1:][inside[1:]]), 1)
     for t in range(1, rounds + 1):
         scores = np.add.reduceat(w[feature], cuts, axis=0)[flat]
-        p = marginals(scores, lengths, moves)
-        expected = _expected_moves(scores, p, moves, inside)
+        p = marginals(scores, lengths, moves, messages)
+        expected = expected_moves(p, messages, moves, inside)
         off = -p
         off[np.arange(len(gold)), gold] += 1
         by_type = np.stack([np.bincount(flat, off[:, j], len(types)) for j in range(k)], 1)
@@ -194,17 +198,11 @@ def fit(samples: list[tuple[str, str]], rounds: int = ROUNDS) -> Field:
     return Field(labels, weights, moves)
 
 
-def _expected_moves(scores: np.ndarray, p: np.ndarray, moves: np.ndarray, inside: np.ndarray) -> np.ndarray:
-    """Expected label pairs under the field, from the marginals of neighbours."""
-    local = np.exp(scores - scores.max(axis=1, keepdims=True))
-    a, b = p[:-1][inside[1:]], p[1:][inside[1:]]
-    # with marginals fixed, pairs follow the transition weights scaled to both of them (two rounds of fitting)
-    pair = a[:, :, None] * np.exp(moves - moves.max())[None] * np.maximum(b, 1e-12)[:, None, :]
-    del local
-    for _ in range(4):
-        pair *= (a / np.maximum(pair.sum(axis=2), 1e-300))[:, :, None]
-        pair *= (b / np.maximum(pair.sum(axis=1), 1e-300))[:, None, :]
-    return pair.sum(axis=0)
+def expected_moves(p: np.ndarray, messages: np.ndarray, moves: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    """Expected label pairs under the field. A pair's probability is that of its second label, dealt out over the first by the forward message."""
+    step = np.exp(moves - moves.max())
+    before, after = messages[:-1][inside[1:]], p[1:][inside[1:]]
+    return (before.T @ (after / np.maximum(before @ step, 1e-300))) * step
 
 
 class Labeller:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -26,7 +27,7 @@ THRESHOLD = 0.7
 _LOOKS_LIKE = {
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "х": "x", "у": "y", "к": "k", "м": "m", "т": "t", "в": "b", "н": "h", "і": "i", "ј": "j", "ѕ": "s", "ԁ": "d", "ո": "n", "ԛ": "q", "ԝ": "w", "ɡ": "g", "һ": "h",
     "α": "a", "ο": "o", "ρ": "p", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "τ": "t", "υ": "u", "χ": "x", "ı": "i", "ｌ": "l", "ӏ": "i",
-    "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "i", "€": "e", "£": "l",
+    "0": "o", "1": "i", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "i", "€": "e", "£": "l",
 }
 _NOTHING = "­​‌‍⁠﻿️"
 
@@ -36,8 +37,7 @@ def _fold_table() -> dict[int, str | None]:
     table: dict[int, str | None] = {c: " " for c in range(0x80) if not chr(c).isalnum()}
     table |= {c: " " for c in (*range(0x80, 0xC0), 0xD7, 0xF7, *range(0x2000, 0x2070), *range(0x3000, 0x3004)) if chr(c) not in "ªºµ"}
     table |= {ord(k): v for k, v in _LOOKS_LIKE.items()}
-    table |= {0xFF41 + k: chr(97 + k) for k in range(26)}  # full-width letters
-    table |= {c: None for c in map(ord, _NOTHING)}
+    table |= {c: None for c in (*map(ord, _NOTHING), *range(0x300, 0x370), *range(0x1AB0, 0x1B00), *range(0x20D0, 0x2100))}  # marks put on letters
     return {c: "i" if v == "l" else v for c, v in table.items()} | {ord("l"): "i"}
 
 
@@ -45,8 +45,12 @@ _FOLD = _fold_table()
 
 
 def fold(text: str) -> str:
-    """The text as the lexicon sees it: words between single or repeated blanks, one blank at either end."""
-    return " " + text.lower().translate(_FOLD) + " "
+    """The text as the lexicon sees it: words between single or repeated blanks, one blank at either end.
+
+    Letters in other dress (mathematical, full-width, circled) become plain ones and lose their accents.
+    """
+    plain = text if text.isascii() else unicodedata.normalize("NFKD", text)
+    return " " + plain.lower().translate(_FOLD) + " "
 
 
 @dataclass

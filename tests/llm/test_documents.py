@@ -1,10 +1,12 @@
 import hashlib
+import itertools
 import math
 import random
 import time
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -40,6 +42,7 @@ def test_toxicity_folds_and_excuses():
         return toxicity.weigh(automaton, toxicity.fold(t))
 
     assert weight("such an 1d10t") > 0 and weight("such an іdіоt!") > 0 and weight("id​iot") > 0  # digits, Cyrillic, zero width
+    assert weight("an ïdíót") > 0 and weight("\U0001d422\U0001d41d\U0001d422\U0001d428\U0001d42d") > 0 and weight("ｉｄｉｏｔ") > 0  # accents, mathematical and full-width letters
     assert weight("a clown fish") == 0 < weight("you clown")
     assert weight("a quiet garden") == 0
     assert toxicity.fit([], []).lexicon == {}
@@ -174,6 +177,35 @@ def test_forward_backward_equals_enumeration():
         langid.SEGMENT = before
 
 
+def test_expected_moves_equal_all_labellings():
+    """The gradient of the transitions, against every labelling of short texts."""
+    rng = np.random.default_rng(5)
+    for n, k in ((2, 2), (4, 3), (5, 2)):
+        scores, moves = rng.normal(size=(n, k)), rng.normal(size=(k, k))
+        want, total = np.zeros((k, k)), 0.0
+        start = np.log(np.exp(moves).sum(axis=0))  # any label may stand in front of the first
+        for labels in itertools.product(range(k), repeat=n):
+            weight = np.exp(start[labels[0]] + sum(scores[t, y] for t, y in enumerate(labels)) + sum(moves[a, b] for a, b in zip(labels, labels[1:])))
+            total += weight
+            for a, b in zip(labels, labels[1:]):
+                want[a, b] += weight
+        messages, inside = np.zeros((n, k)), np.array([False] + [True] * (n - 1))
+        p = langid.marginals(scores, np.array([n]), moves, messages)
+        assert np.allclose(langid.expected_moves(p, messages, moves, inside), want / total)
+
+
+def test_weighing_equals_plain_search():
+    rng = random.Random(9)
+    model = toxicity.Model({" ab": 1.0, " abc ": 2.0, "bb": 0.5, " ca": 3.0}, [" ca bb ", " abc a "])
+    automaton = model.automaton()
+    for _ in range(500):
+        text = toxicity.fold("".join(rng.choice("abc ") for _ in range(rng.randint(0, 40))))
+        spots = lambda p: [k for k in range(len(text)) if text.startswith(p, k)]
+        free = [(k, k + len(p)) for p in model.excused for k in spots(p)]
+        want = sum(w for p, w in model.lexicon.items() for k in spots(p) if not any(a <= k and k + len(p) <= b for a, b in free))
+        assert toxicity.weigh(automaton, text) == pytest.approx(want)
+
+
 def test_decontamination(spark, odd, none):
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
