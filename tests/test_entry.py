@@ -22,8 +22,16 @@ def test_the_rest_stands_without_the_optional_package(tmp_path):
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})
 
 
+def test_a_broken_optional_package_is_told(tmp_path):
+    shutil.copytree(ROOT / "quillmark", tmp_path / "quillmark", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
+    (tmp_path / "corpus_pipeline.py").write_text("import no_such_module\n")
+    run = subprocess.run([sys.executable, "-c", "import __spark_entry__"], cwd=tmp_path, capture_output=True, text=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})
+    assert run.returncode and "no_such_module" in run.stderr
+
+
 @pytest.mark.skipif(not DATA.exists(), reason="the shared tables are not here")
-@pytest.mark.parametrize("name", ["dense_min_score", "bm25_topk_per_topic", "hybrid_rrf", "upsert_merge", "stale_rows", "context_block", "entity_bridges", "citation_filter", "slugify"])
+@pytest.mark.parametrize("name", ["dense_min_score", "bm25_topk_per_topic", "hybrid_rrf", "upsert_merge", "stale_rows", "context_block", "entity_bridges", "citation_filter", "slugify", "text_update", "mention_edges", "packed_paragraphs", "spool_batch", "note_frontmatter", "bfs_neighbours"])
 def test_queries_equal_their_sql(spark, name):
     import duckdb
 
