@@ -312,27 +312,41 @@ def _markdown(spark, d):
     return texts(spark, d).select(F.col("id").alias("doc"), F.concat(F.lit("# "), F.col("topic"), F.lit("\n\n"), F.regexp_replace("text", "\n", "\n\n")).alias("text"))
 
 
-@query()
+_W = r"list_filter(regexp_split_to_array({}, '\s+'), lambda w: w <> '')"
+
+
+def _packed_sql(text: str) -> str:
+    """``doc, idx, t``: paragraphs of ``text`` packed greedily into pieces of 120 words; a last one below 20 joins the one before."""
+    return rf"""p AS (SELECT doc_id AS doc, list_filter(list_transform(string_split({text}, chr(10) || chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS ps FROM documents),
+q AS (SELECT doc, i, ps[i] AS t, len({_W.format('ps[i]')}) AS n FROM p, range(1, 20000) r(i) WHERE i <= len(ps)),
+w AS (SELECT doc, 1::BIGINT AS i, 0::BIGINT AS piece, n FROM q WHERE i = 1
+    UNION ALL SELECT q.doc, q.i, CASE WHEN w.n + q.n > 120 THEN w.piece + 1 ELSE w.piece END, CASE WHEN w.n + q.n > 120 THEN q.n ELSE w.n + q.n END FROM w JOIN q ON q.doc = w.doc AND q.i = w.i + 1),
+s AS (SELECT doc, piece, max(n) AS n FROM w GROUP BY 1, 2), l AS (SELECT doc, max(piece) AS last FROM s GROUP BY 1),
+f AS (SELECT w.doc, w.i, CASE WHEN w.piece = l.last AND l.last > 0 AND s.n < 20 THEN w.piece - 1 ELSE w.piece END AS idx FROM w JOIN l USING (doc) JOIN s ON s.doc = w.doc AND s.piece = w.piece),
+made AS (SELECT doc, idx, string_agg(t, chr(10) || chr(10) ORDER BY f.i) AS t FROM f JOIN q USING (doc, i) GROUP BY 1, 2)"""
+
+
+@query(rf"""WITH RECURSIVE {_packed_sql("replace(text, chr(10), chr(10) || chr(10))")},
+led AS (SELECT *, lag(t) OVER (PARTITION BY doc ORDER BY idx) AS before FROM made), lw AS (SELECT *, {_W.format('before')} AS ws FROM led)
+SELECT doc, idx, '# ' || source AS heading, '# ' || source || chr(10) || chr(10) || CASE WHEN len(ws) > 0 THEN '… ' || array_to_string(ws[greatest(1, len(ws) - 19) :], ' ') || chr(10) || chr(10) ELSE '' END || t AS text FROM lw JOIN documents ON doc_id = doc
+UNION ALL SELECT doc_id, 0, '# ' || source, '# ' || source FROM documents WHERE doc_id NOT IN (SELECT doc FROM made)""")
 def chunk_headings_overlap(spark, d):
     return chunk.chunk_text(_markdown(spark, d))
 
 
-@query()
+@query(rf"""WITH RECURSIVE {_packed_sql("'# ' || source || chr(10) || chr(10) || replace(text, chr(10), chr(10) || chr(10))")} SELECT doc, idx, t AS text FROM made""")
 def chunk_paragraphs(spark, d):
     return chunk.chunk_paragraphs(_markdown(spark, d))
 
 
-_W = r"list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')"
-
-
-@query(f"""WITH w AS (SELECT doc_id AS id, {_W} AS ws FROM documents)
+@query(f"""WITH w AS (SELECT doc_id AS id, {_W.format('text')} AS ws FROM documents)
 SELECT id, i, array_to_string(ws[i * 350 + 1 : i * 350 + 400], ' ') AS win FROM w, range(0, 1000) t(i) WHERE len(ws) > 0 AND (i = 0 OR (i - 1) * 350 + 400 < len(ws))""")
 def sliding_windows(spark, d):
     found = texts(spark, d).select("id", F.posexplode(chunk.windows(F.col("text"))).alias("i", "w"))
     return found.select("id", F.col("i").cast("long").alias("i"), F.regexp_replace("w", r"\s+", " ").alias("win"))
 
 
-@query(f"SELECT doc_id AS id, len({_W}) AS n FROM documents")
+@query(f"SELECT doc_id AS id, len({_W.format('text')}) AS n FROM documents")
 def token_count(spark, d):
     return texts(spark, d).select("id", T.word_count(F.col("text")).alias("n"))
 
@@ -398,7 +412,7 @@ def turn_numbering(spark, d):
     return sessions.numbered(_turns(spark, d)).select("session", "turn", "name")
 
 
-@query(rf"""WITH h AS (SELECT conv_id AS query_id, turn + 1 AS rank, role AS doc, text, {_W} AS w FROM conversations), u AS (SELECT *, coalesce(sum(len(w)) OVER (PARTITION BY query_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM h)
+@query(rf"""WITH h AS (SELECT conv_id AS query_id, turn + 1 AS rank, role AS doc, text, {_W.format('text')} AS w FROM conversations), u AS (SELECT *, coalesce(sum(len(w)) OVER (PARTITION BY query_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM h)
 SELECT query_id, string_agg('[' || rank || '] (' || doc || ', score 1.00)' || chr(10) || CASE WHEN len(w) <= 120 - used THEN text ELSE array_to_string(w[1 : (120 - used)::INT], ' ') || ' …' END, chr(10) || chr(10) ORDER BY rank) AS context FROM u WHERE used < 120 GROUP BY 1""")
 def context_block(spark, d):
     hits = _turns(spark, d).select(F.col("session").alias("query_id"), (F.col("turn") + 1).alias("rank"), F.col("role").alias("doc"), F.lit(1.0).alias("score"), "text")
@@ -493,14 +507,27 @@ def hashed_embedding(spark, d):
 # --- streaming and SQL -----------------------------------------------------------------------------------------------
 
 
-@query("SELECT event_type AS action, count(*) AS n FROM events GROUP BY 1")
-def stream_counts(spark, d):
-    """A stream over the events, aggregated by type, drained into a table."""
+def _streamed(spark, d, counted) -> DataFrame:
+    """What a streaming aggregation over the events holds when all of them are in: its state, written batch by batch."""
     where = f"{shared_dir(spark)}/quillmark/stream-{uuid.uuid4().hex}"
     rows = spark.readStream.schema(table(spark, d, "events").schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet*")
-    run = rows.select("event_type", "event_id").writeStream.format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start()
+    save = lambda batch, number: batch.write.mode("overwrite").parquet(f"{where}/out")
+    run = counted(rows).writeStream.outputMode("complete").foreachBatch(save).option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.read.parquet(f"{where}/out").groupBy(F.col("event_type").alias("action")).agg(F.count("*").alias("n"))
+    return spark.read.parquet(f"{where}/out")
+
+
+@query("SELECT event_type AS action, count(*) AS n FROM events GROUP BY 1")
+def stream_counts(spark, d):
+    """A stateful count by type over a stream of the events."""
+    return _streamed(spark, d, lambda rows: rows.groupBy(F.col("event_type").alias("action")).agg(F.count("*").alias("n")))
+
+
+@query("SELECT date_trunc('hour', ts) AS hour, event_type AS action, count(*) AS n, max(value) AS most FROM events GROUP BY 1, 2")
+def stream_windows(spark, d):
+    """Event-time windows of an hour over the stream; rows may come two hours late."""
+    counted = lambda rows: rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "2 hours").groupBy(F.window("ts", "1 hour").alias("w"), F.col("event_type").alias("action")).agg(F.count("*").alias("n"), F.max("value").alias("most"))
+    return _streamed(spark, d, counted).select(F.col("w.start").cast("timestamp_ntz").alias("hour"), "action", "n", "most")
 
 
 @query("""SELECT l_returnflag, l_linestatus, sum(l_quantity)::DOUBLE AS sum_qty, round(sum(l_extendedprice * (1 - l_discount))::DOUBLE, 2) AS revenue, count(*) AS n FROM lineitem GROUP BY 1, 2""")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quillmark.functions import text as T
 from quillmark.functions import vector as V
-from quillmark.operators import chunk, enrich, graph, keyword, observe, sessions, store
+from quillmark.operators import enrich, graph, keyword, observe, sessions, store
 from quillmark.plans.storage import shared_dir
 from quillmark.queries import _E, _bm25, _edges, _hits, _old_and_new, _OLD, one_topic, query, questions, r6, table, texts
 from quillmark.sources import files
@@ -194,24 +194,6 @@ def extraction_parsing(spark, d):
     return texts(spark, d).select("id", T.extraction(said).alias("x")).select("id", "x.entities", F.transform("x.relations", lambda r: F.concat_ws("|", r["s"], r["r"], r["o"])).alias("relations"))
 
 
-# --- chunks ----------------------------------------------------------------------------------------
-
-_WORDS = r"len(list_filter(regexp_split_to_array({}, '\s+'), lambda w: w <> ''))"
-
-
-@query(rf"""WITH RECURSIVE p AS (SELECT doc_id AS doc, list_filter(list_transform(string_split(replace('# ' || source || chr(10) || chr(10) || replace(text, chr(10), chr(10) || chr(10)), chr(13), ' '), chr(10) || chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS ps FROM documents),
-q AS (SELECT doc, i, ps[i] AS t, {_WORDS.format('ps[i]')} AS n, len(ps) AS total FROM p, range(1, 5000) r(i) WHERE i <= len(ps)),
-w AS (SELECT doc, 1::BIGINT AS i, 0::BIGINT AS piece, n FROM q WHERE i = 1
-    UNION ALL SELECT q.doc, q.i, CASE WHEN w.n + q.n > 120 THEN w.piece + 1 ELSE w.piece END, CASE WHEN w.n + q.n > 120 THEN q.n ELSE w.n + q.n END FROM w JOIN q ON q.doc = w.doc AND q.i = w.i + 1),
-s AS (SELECT doc, piece, max(n) AS n FROM w GROUP BY 1, 2), l AS (SELECT doc, max(piece) AS last FROM s GROUP BY 1),
-f AS (SELECT w.doc, w.i, CASE WHEN w.piece = l.last AND l.last > 0 AND s.n < 20 THEN w.piece - 1 ELSE w.piece END AS idx FROM w JOIN l USING (doc) JOIN s ON s.doc = w.doc AND s.piece = w.piece)
-SELECT doc, idx, sha1(string_agg(t, chr(10) || chr(10) ORDER BY f.i)) AS h FROM f JOIN q USING (doc, i) GROUP BY 1, 2""")
-def packed_paragraphs(spark, d):
-    """Greedy packing of paragraphs into pieces of 120 words, a short last one joined to the one before."""
-    rows = texts(spark, d).select(F.col("id").alias("doc"), F.concat(F.lit("# "), "topic", F.lit("\n\n"), F.regexp_replace(F.regexp_replace("text", "\n", "\n\n"), "\r", " ")).alias("text"))
-    return chunk.chunk_paragraphs(rows).select("doc", "idx", F.sha1(F.col("text").cast("binary")).alias("h"))
-
-
 # --- numbers, time, changes ---------------------------------------------------------------------
 
 

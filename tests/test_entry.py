@@ -31,7 +31,7 @@ def test_a_broken_optional_package_is_told(tmp_path):
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="the shared tables are not here")
-@pytest.mark.parametrize("name", ["dense_min_score", "bm25_topk_per_topic", "hybrid_rrf", "upsert_merge", "stale_rows", "context_block", "entity_bridges", "citation_filter", "slugify", "text_update", "mention_edges", "packed_paragraphs", "spool_batch", "note_frontmatter", "bfs_neighbours"])
+@pytest.mark.parametrize("name", ["dense_min_score", "bm25_topk_per_topic", "hybrid_rrf", "upsert_merge", "stale_rows", "context_block", "entity_bridges", "citation_filter", "slugify", "text_update", "mention_edges", "chunk_headings_overlap", "spool_batch", "note_frontmatter", "bfs_neighbours"])
 def test_queries_equal_their_sql(spark, name):
     import duckdb
 
