@@ -212,7 +212,7 @@ def pack(cut: DataFrame, window: int = WINDOW, group_windows: int = GROUP_WINDOW
                 at += lengths[k]
         return order.drop_columns(["part"]).append_column("sequence_id", pa.array(sequence + (group << 32))).append_column("offset", pa.array(offset))
 
-    dealt = cut.withColumn("part", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1))), F.lit(groups)))
+    dealt = cut.withColumn("part", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)))
     return dealt.groupBy("part").applyInArrow(run, SCHEMA)
 
 
@@ -220,7 +220,7 @@ def pack_documents(docs: DataFrame, path: str | None = None, window: int = WINDO
     """``docs(doc_id, text)`` -> one row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``.
 
     A document's ids are those of its whole text and then id 2 (null and empty texts: id 2 alone). Every whole
-    window of a document is a sequence; the rest, in pieces, is dealt by a hash of doc_id to groups of about
+    window of a document is a sequence; the rest, in pieces, is dealt by a hash of the piece to groups of about
     ``GROUP_WINDOWS`` windows, and each group is balanced by differencing. All runs of it give the same packing.
     Rows that repeat a doc_id are packed one by one; a null doc_id stays null; no rows give no rows.
     """
