@@ -14,6 +14,8 @@ from quillmark.plans.storage import materialized
 
 #: Vectors that are held against the whole table at a time.
 BLOCK = 2048
+#: So many links are settled by one task (16 bytes each); more go through rounds of stars.
+FEW_LINKS = 1 << 18
 
 
 def similar_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
@@ -54,12 +56,35 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("u <> v").distinct()
 
 
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``node, component`` of a bounded number of links, by union-find."""
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = parent[up]
+            x = up
+        return x
+
+    for batch in batches:
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            a, b = find(u), find(v)
+            parent[max(a, b)] = min(a, b)
+    nodes = list(parent)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], ["node", "component"])
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """``edges(u, v)`` -> ``node, component`` (the smallest id reachable), by alternating stars; no driver state."""
+    """``edges(u, v)`` -> ``node, component`` (the smallest id reachable), by alternating stars; no driver state.
+
+    Once no more than ``FEW_LINKS`` are left, which is from the start for a small table, one task joins them.
+    """
     now, seen = materialized(edges.where("u <> v").select("u", "v").distinct(), "edges"), None
     while True:
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == seen or not mark[0]:
+        if mark[0] <= FEW_LINKS:
+            return now.select(F.col("u").cast("long"), F.col("v").cast("long")).coalesce(1).mapInArrow(_joined, "node long, component long")
+        if mark == seen:
             break
         seen, now = mark, materialized(_star(_star(now, True), False), "edges")
     ends = now.select(F.col("u").alias("node"), F.col("v").alias("component"))

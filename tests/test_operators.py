@@ -122,3 +122,14 @@ def test_bm25_prefers_rare_terms(spark):
         return [r.id for r in keyword.best(keyword.bm25(posts, sizes, asked), "bm", 3).orderBy("rank").collect()]
 
     assert top("which file is the atomic commit point")[0] == 1 and top("manifest") == [4, 0] and top("manifest.json") == [1] and top("zebra") == [] and top("tombstoned 20%")[0] == 2
+
+
+def test_components_by_one_task_and_by_stars(spark, monkeypatch):
+    from quillmark.operators import duplicates
+
+    edges = spark.createDataFrame([(k, k + 1) for k in range(30)] + [(90, 80), (80, 90), (5, 5)], "u long, v long")
+    want = sorted([(k, 0) for k in range(31)] + [(80, 80), (90, 80)])
+    assert rows(duplicates.components(edges), "node", "component") == want
+    assert duplicates.components(edges.limit(0)).count() == 0
+    monkeypatch.setattr(duplicates, "FEW_LINKS", 3)
+    assert rows(duplicates.components(edges), "node", "component") == want
