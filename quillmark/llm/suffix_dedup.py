@@ -4,7 +4,8 @@ Equal strings are brought together by anchors: in every window of ``length`` byt
 Equal windows have equal anchors at equal places, so windows only need to be compared within an anchor's group. The
 windows that an anchor's occurrence serves are one context. Of occurrences whose whole context is the same (by the
 64-bit hashes of the anchor and of the context) the first stands for all. Where an anchor has several different
-contexts, their suffixes are sorted. An anchor with very many of them is split: its windows are dealt out one by one.
+contexts, their suffixes are sorted. An anchor with very many of them is split into blocks, and windows that are first
+in their block are compared by digest.
 """
 
 from __future__ import annotations
@@ -250,29 +251,33 @@ def _contexts(docs: DataFrame, open_: DataFrame) -> DataFrame:
 RUNS = "doc_id long, row_hash long, start long, count long"
 
 
-def _sorted_groups(contexts: DataFrame) -> DataFrame:
-    """Runs of window starts that the suffix order shows to be repeats. No group holds more than ``GROUP`` contexts."""
+def _runs(starts: list[int]) -> Iterator[tuple[int, int]]:
+    """Sorted numbers as first number and length of each run."""
+    k = 0
+    while k < len(starts):
+        m = k
+        while m + 1 < len(starts) and starts[m + 1] == starts[m] + 1:
+            m += 1
+        yield starts[k], m - k + 1
+        k = m + 1
 
-    def group(rows: list[tuple]) -> Iterator[tuple[int, int, int, int]]:
-        for (_, doc_id, row, start, *_), starts in zip(rows, repeated_windows([r[6:3:-1] for r in rows])):
-            k = 0
-            while k < len(starts):
-                m = k
-                while m + 1 < len(starts) and starts[m + 1] == starts[m] + 1:
-                    m += 1
-                yield doc_id, row, start + starts[k], m - k + 1
-                k = m + 1
+
+def _grouped(rows: DataFrame, by: list[str], group, schema: str) -> DataFrame:
+    """``group(rows)`` for the contexts of each group, which arrive one after another in the order of their owners."""
+    width = len(by)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         out: list[tuple] = []
+        kinds = [pa.int64()] * 4 + [pa.binary()]
 
         def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(4)], [*OWNER, "start", "count"])
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in zip(range(len(names)), kinds)], names)
 
+        names = [c.split()[0] for c in schema.split(", ")]
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if held and held[0][0] != row[0]:
+                if held and held[0][:width] != row[:width]:
                     out += group(held)
                     held = []
                 held.append(row)
@@ -282,16 +287,40 @@ def _sorted_groups(contexts: DataFrame) -> DataFrame:
         out += group(held)
         yield flush()
 
-    small_batches(contexts.sparkSession)
-    rows = contexts.select("key", *OWNER, "start", "count", "spot", "bytes")
-    return rows.repartition("key").sortWithinPartitions("key", *OWNER, "start").mapInArrow(run, RUNS)
+    small_batches(rows.sparkSession)
+    dealt = rows.select(*by, *OWNER, "start", "count", "spot", "bytes")
+    return dealt.repartition(*by).sortWithinPartitions(*by, *OWNER, "start").mapInArrow(run, schema)
 
 
-def _split_groups(contexts: DataFrame, scratch: Scratch) -> DataFrame:
-    """The same for anchors with more contexts: equal windows meet by a digest of their bytes, wherever they are.
+def _sorted_groups(contexts: DataFrame) -> DataFrame:
+    """Runs of window starts that the suffix order shows to be repeats. No group holds more than ``GROUP`` contexts."""
+
+    def group(rows: list[tuple]) -> Iterator[tuple]:
+        for (_, doc_id, row, start, *_), found in zip(rows, repeated_windows([r[6:3:-1] for r in rows])):
+            yield from ((doc_id, row, start + k, n) for k, n in _runs(found))
 
-    The first of equal windows is found by partial aggregation, so a window of any frequency is cheap.
+    return _grouped(contexts, ["key"], group, RUNS)
+
+
+def _sorted_blocks(contexts: DataFrame) -> DataFrame:
+    """The same for blocks of larger groups: ``bytes`` is null for a run of repeats. Other windows come back as
+    stretches of bytes, as they may be repeats of windows in another block."""
+
+    def group(rows: list[tuple]) -> Iterator[tuple]:
+        for (_, _, doc_id, row, start, count, _, data), found in zip(rows, repeated_windows([r[7:4:-1] for r in rows])):
+            yield from ((doc_id, row, start + k, n, None) for k, n in _runs(found))
+            yield from ((doc_id, row, start + k, n, data[k : k + n + LENGTH - 1]) for k, n in _runs(sorted({*range(count)}.difference(found))))
+
+    blocks = F.pmod(F.xxhash64(*OWNER, "start"), F.ceil(F.col("m") / GROUP))
+    return _grouped(contexts.withColumn("block", blocks), ["key", "block"], group, RUNS + ", bytes binary")
+
+
+def _split_groups(contexts: DataFrame, scratch: Scratch) -> DataFrame:
+    """The same for anchors with more contexts. Blocks of them are sorted first, which settles all but one of the equal
+    windows in a block; the windows that are left meet by a digest of their bytes, and the first is found by partial
+    aggregation, so a window of any frequency is cheap.
     """
+    sifted = scratch.write(_sorted_blocks(contexts), "blocks")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
@@ -300,11 +329,11 @@ def _split_groups(contexts: DataFrame, scratch: Scratch) -> DataFrame:
         kinds = [pa.binary()] + [pa.int64()] * 3
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["digest", *OWNER, "start"])
 
-    windows = map_batches(contexts.select(*OWNER, "start", "count", "bytes"), run, "digest binary, doc_id long, row_hash long, start long")
+    windows = map_batches(sifted.where("bytes is not null").select(*OWNER, "start", "count", "bytes"), run, "digest binary, doc_id long, row_hash long, start long")
     first = windows.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct(*OWNER, "start")).alias("first"))
     first = scratch.write(first.where("n > 1").select("digest", "first"), "windows")
     again = windows.join(first, "digest").where(F.struct(*OWNER, "start") != F.col("first"))
-    return again.select(*OWNER, "start", F.lit(1).cast("long").alias("count"))
+    return sifted.where("bytes is null").select(*OWNER, "start", "count").unionByName(again.select(*OWNER, "start", F.lit(1).cast("long").alias("count")))
 
 
 CUT = "doc_id long, row_hash long, n_removed long, n_spans long, kept_sha256 string"
