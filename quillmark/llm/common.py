@@ -46,11 +46,15 @@ class Scratch:
 
     def write(self, df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
         """Write ``df`` as Parquet and read it back: cuts lineage and survives lost executors."""
+        return self.spark.read.schema(df.schema).parquet(self.save(df, tag, keep))
+
+    def save(self, df: DataFrame, tag: str, keep: bool = False) -> str:
+        """Write ``df`` as Parquet; gives the path."""
         path = f"{self.base}/{tag}-{uuid.uuid4().hex}"
         if not keep:
             self.passing.append(path)
         df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        return path
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:

@@ -378,6 +378,24 @@ def test_secrets_of_learned_formats_are_found(spark):
     assert missed <= 20 and wrong <= 4  # of 400 credentials, and of 4000 look-alikes
 
 
+def test_secrets_of_long_and_rare_formats_are_found(spark, monkeypatch):
+    """Formats that no automaton holds, as values are long or other formats more frequent, find bare values too."""
+    monkeypatch.setattr(secrets, "MOST_FORMATS", 3)
+    rng = random.Random(5)
+    some = lambda n: "".join(rng.choice("BCDFGHKLMNPQRSTVWXZbcdfghkmnpqrstvwxz23456789") for _ in range(n))
+    makers = [lambda: f"9Z{some(598)}", lambda: "x_" + some(700), lambda: f"rare.{some(30)}.k9", *(lambda n=n: f"usual-{some(20 + n)}" for n in range(4))]
+    train = [f"some plain words and token={makers[k]()} here" for k in (0, 1, 2, *([3, 4, 5] * 5), 6)]
+    bare = {k: m() for k, m in enumerate(makers)}
+    test = {k: f"now {v} stands alone, {some(640)} is longer by itself" for k, v in bare.items()}
+    test[7] = f"null id has {bare[0]}/{bare[2]} in parts"
+    formats = secrets.learn(spark.createDataFrame(list(enumerate(train)), "doc_id long, text string"))
+    assert formats.rest and len(formats.automata["assign"].moves) < 100
+    docs = spark.createDataFrame([*test.items(), (None, test[7]), (None, test[7]), (None, None)], "doc_id long, text string")
+    got = [(r.doc_id, r.spans) for r in secrets.scan(docs, formats).collect()]
+    parts = ",".join(f"format:{(a := test[7].index(v))}:{a + len(v)}" for v in (bare[0], bare[2]))
+    assert sorted(got, key=str) == sorted([(k, f"format:4:{4 + len(v)}") for k, v in bare.items()] + [(7, parts), (None, parts), (None, parts), (None, "")], key=str)
+
+
 def test_secrets_learn_from_every_document(spark):
     rare = F.concat(F.lit("key AKIA"), F.upper(F.substring(F.sha2(F.col("id").cast("string"), 256), 1, 16)))
     docs = spark.range(100_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 20_000 == 7, rare).otherwise(F.lit("a word")).alias("text"))
