@@ -4,12 +4,13 @@ Equal strings are brought together by anchors: in every window of ``length`` byt
 Equal windows have equal anchors at equal places, so windows only need to be compared within an anchor's group. The
 windows that an anchor's occurrence serves are one context. Of occurrences whose whole context is the same (by the
 64-bit hashes of the anchor and of the context) the first stands for all. Where an anchor has several different
-contexts, their suffixes are sorted. An anchor with very many of them is split into blocks, and windows that are first
-in their block are compared by digest.
+contexts, their suffixes are sorted. An anchor with very many of them is made longer first, on either side, until few
+different contexts share it.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator, Sequence
 
@@ -262,22 +263,25 @@ def _runs(starts: list[int]) -> Iterator[tuple[int, int]]:
         k = m + 1
 
 
-def _grouped(rows: DataFrame, by: list[str], group, schema: str) -> DataFrame:
-    """``group(rows)`` for the contexts of each group, which arrive one after another in the order of their owners."""
-    width = len(by)
+def _sorted_groups(contexts: DataFrame) -> DataFrame:
+    """Runs of window starts that the suffix order shows to be repeats. No group holds more than ``GROUP`` contexts;
+    those of a group arrive one after another, in the order of their owners."""
+    names = [c.split()[0] for c in RUNS.split(", ")]
+
+    def group(rows: list[tuple]) -> Iterator[tuple]:
+        for (_, doc_id, row, start, *_), found in zip(rows, repeated_windows([r[6:3:-1] for r in rows])):
+            yield from ((doc_id, row, start + k, n) for k, n in _runs(found))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         out: list[tuple] = []
-        kinds = [pa.int64()] * 4 + [pa.binary()]
 
         def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in zip(range(len(names)), kinds)], names)
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(len(names))], names)
 
-        names = [c.split()[0] for c in schema.split(", ")]
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if held and held[0][:width] != row[:width]:
+                if held and held[0][0] != row[0]:
                     out += group(held)
                     held = []
                 held.append(row)
@@ -287,53 +291,66 @@ def _grouped(rows: DataFrame, by: list[str], group, schema: str) -> DataFrame:
         out += group(held)
         yield flush()
 
-    small_batches(rows.sparkSession)
-    dealt = rows.select(*by, *OWNER, "start", "count", "spot", "bytes")
-    return dealt.repartition(*by).sortWithinPartitions(*by, *OWNER, "start").mapInArrow(run, schema)
-
-
-def _sorted_groups(contexts: DataFrame) -> DataFrame:
-    """Runs of window starts that the suffix order shows to be repeats. No group holds more than ``GROUP`` contexts."""
-
-    def group(rows: list[tuple]) -> Iterator[tuple]:
-        for (_, doc_id, row, start, *_), found in zip(rows, repeated_windows([r[6:3:-1] for r in rows])):
-            yield from ((doc_id, row, start + k, n) for k, n in _runs(found))
+    small_batches(contexts.sparkSession)
+    dealt = contexts.select("key", *OWNER, "start", "count", "spot", "bytes")
+    return dealt.repartition("key").sortWithinPartitions("key", *OWNER, "start").mapInArrow(run, RUNS)
 
-    return _grouped(contexts, ["key"], group, RUNS)
 
+HALF = "key binary, stretch binary, doc_id long, row_hash long, start long, spot long, count long, free long, bytes binary"
 
-def _sorted_blocks(contexts: DataFrame) -> DataFrame:
-    """The same for blocks of larger groups: ``bytes`` is null for a run of repeats. Other windows come back as
-    stretches of bytes, as they may be repeats of windows in another block."""
-
-    def group(rows: list[tuple]) -> Iterator[tuple]:
-        for (_, _, doc_id, row, start, count, _, data), found in zip(rows, repeated_windows([r[7:4:-1] for r in rows])):
-            yield from ((doc_id, row, start + k, n, None) for k, n in _runs(found))
-            yield from ((doc_id, row, start + k, n, data[k : k + n + LENGTH - 1]) for k, n in _runs(sorted({*range(count)}.difference(found))))
 
-    blocks = F.pmod(F.xxhash64(*OWNER, "start"), F.ceil(F.col("m") / GROUP))
-    return _grouped(contexts.withColumn("block", blocks), ["key", "block"], group, RUNS + ", bytes binary")
+def halves(spot: int, count: int, free: int) -> Iterator[tuple[int, int, int, int, int]]:
+    """Each window has ``free`` bytes besides its group's core, which starts at ``spot`` of the context: half of them in
+    front of the core or else more than the other half behind. So the core grows by these for the one windows or the
+    others: their first, their number, how far their core starts and ends from the old core's bounds, bytes left free.
+    """
+    half = (free + 1) // 2
+    cut = min(max(spot - half + 1, 0), count)  # windows in front of this one have half of the bytes in front of the core
+    if cut:
+        yield 0, cut, -half, 0, free - half
+    if cut < count:
+        yield cut, count - cut, 0, free - half + 1, half - 1
 
 
-def _split_groups(contexts: DataFrame, scratch: Scratch) -> DataFrame:
-    """The same for anchors with more contexts. Blocks of them are sorted first, which settles all but one of the equal
-    windows in a block; the windows that are left meet by a digest of their bytes, and the first is found by partial
-    aggregation, so a window of any frequency is cheap.
-    """
-    sifted = scratch.write(_sorted_blocks(contexts), "blocks")
+def _halved(contexts: DataFrame) -> DataFrame:
+    """Two parts of each context at most, under the digests of their longer cores and of all their bytes."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
-        for doc_id, row, start, count, data in zip(*(c.to_pylist() for c in batch.columns)):
-            rows += ((hashlib.blake2b(data[k : k + LENGTH], digest_size=16).digest(), doc_id, row, start + k) for k in range(count))
-        kinds = [pa.binary()] + [pa.int64()] * 3
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["digest", *OWNER, "start"])
-
-    windows = map_batches(sifted.where("bytes is not null").select(*OWNER, "start", "count", "bytes"), run, "digest binary, doc_id long, row_hash long, start long")
-    first = windows.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct(*OWNER, "start")).alias("first"))
-    first = scratch.write(first.where("n > 1").select("digest", "first"), "windows")
-    again = windows.join(first, "digest").where(F.struct(*OWNER, "start") != F.col("first"))
-    return sifted.where("bytes is null").select(*OWNER, "start", "count").unionByName(again.select(*OWNER, "start", F.lit(1).cast("long").alias("count")))
+        for doc_id, row, start, spot, count, free, data in zip(*(c.to_pylist() for c in batch.columns)):
+            for at, n, front, behind, left in halves(spot, count, free):
+                part, core = data[at : at + n + LENGTH - 1], data[spot + front : spot + LENGTH - free + behind]
+                place = spot + front - at
+                stretch = hashlib.blake2b(part, digest_size=16, key=bytes((place, n))).digest()
+                rows.append((hashlib.blake2b(core, digest_size=16, key=bytes((front + LENGTH, left))).digest(), stretch, doc_id, row, start + at, place, n, left, part))
+        kinds = [pa.binary()] * 2 + [pa.int64()] * 6 + [pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], [c.split()[0] for c in HALF.split(", ")])
+
+    return map_batches(contexts.select(*OWNER, "start", "spot", "count", "free", "bytes"), run, HALF)
+
+
+def _split_groups(contexts: DataFrame, scratch: Scratch) -> list[DataFrame]:
+    """Runs of repeats for anchors with more contexts than ``GROUP``, as several tables.
+
+    Every round makes the group's common core longer: a context is cut in two, by the side on which its windows have
+    more of the bytes that the core lacks, and parts meet by a digest of the longer core. Equal windows are on the same
+    side and have equal cores. Parts that are equal as a whole are settled by partial aggregates, and groups that have
+    become small enough are sorted. The bytes that the core lacks are halved in every round; in the end (in the seventh
+    round) it is the window, so this settles groups of any size.
+    """
+    found: list[DataFrame] = []
+    contexts = contexts.withColumn("free", F.lit(LENGTH - GRAM).cast("long"))
+    while not contexts.isEmpty():
+        parts = scratch.write(_halved(contexts), "parts")
+        first = parts.groupBy("key", "stretch").agg(F.min(F.struct(*OWNER, "start")).alias("first"))
+        first = scratch.write(first.select("key", "first.*"), "part-firsts")
+        sizes = scratch.write(first.groupBy("key").agg(F.count("*").alias("m")), "part-sizes")
+        sized = first.join(sizes.where("m > 1"), "key", "left").select(*OWNER, "start", "m", F.lit(True).alias("is_first"))
+        placed = scratch.write(parts.drop("stretch").join(sized, [*OWNER, "start"], "left"), "placed")  # by place, which no two parts share
+        found.append(placed.where("is_first is null").select(*OWNER, "start", "count"))
+        found.append(_sorted_groups(placed.where(F.col("m") <= GROUP)))
+        contexts = placed.where(F.col("m") > GROUP)
+    return found
 
 
 CUT = "doc_id long, row_hash long, n_removed long, n_spans long, kept_sha256 string"
@@ -374,8 +391,8 @@ def repeated_runs(docs: DataFrame, scratch: Scratch) -> DataFrame:
     again = again.select(*OWNER, F.expr("shiftright(at, 16)").alias("start"), F.expr("at & 255").alias("count"))
     open_ = first.select("key", "first.*").join(mixed, "key")
     contexts = scratch.write(_contexts(docs, open_), "contexts")
-    found = _sorted_groups(contexts.where(F.col("m") <= GROUP)).unionByName(_split_groups(contexts.where(F.col("m") > GROUP), scratch))
-    return scratch.write(again.unionByName(found), "runs")
+    found = [_sorted_groups(contexts.where(F.col("m") <= GROUP)), *_split_groups(contexts.where(F.col("m") > GROUP), scratch)]
+    return scratch.write(functools.reduce(DataFrame.unionByName, found, again), "runs")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:

@@ -84,3 +84,35 @@ def test_anchors_with_many_contexts(spark, monkeypatch):
     rows += [(61, rows[1][1][40:220]), (62, rows[5][1])]
     got = {r.doc_id: tuple(r)[1:] for r in S.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute(rows)
+
+
+def test_halves_hold_every_window_once():
+    for free in range(1, S.LENGTH - S.GRAM + 1):
+        for spot in range(free + 1):
+            for count in range(1, spot + 2):
+                parts = list(S.halves(spot, count, free))
+                assert [k for at, n, *_ in parts for k in range(at, at + n)] == list(range(count))
+                for at, n, front, behind, left in parts:
+                    low, high = spot + front, spot + S.LENGTH - free + behind
+                    assert high - low == S.LENGTH - left and 2 * left <= free
+                    assert all(k <= low and high <= k + S.LENGTH for k in range(at, at + n))
+
+
+def test_large_groups_are_not_taken_apart_into_windows(spark, monkeypatch):
+    """Anchors with many contexts give two rows a context and round, not one for each of its windows."""
+    made = []
+
+    def counted(df, run, schema):
+        out = whole(df, run, schema)
+        made.append(out.count() if "start long" in schema and "key long" not in schema else 0)
+        return out
+
+    whole = S.map_batches
+    monkeypatch.setattr(S, "GROUP", 8)
+    monkeypatch.setattr(S, "map_batches", counted)
+    rng = random.Random(7)
+    any_text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    line = any_text(60)
+    rows = [(k, any_text(90) + line + any_text(90)) for k in range(100)]
+    got = {r.doc_id: tuple(r)[1:] for r in S.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows) and 0 < sum(made) < 2500
