@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import heapq
+import string
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -20,7 +21,7 @@ WINDOW, END_ID = 4096, 2
 PIECE = 512
 #: Windows that are balanced against each other: bounds one group's work, whatever the corpus.
 GROUP_WINDOWS = 192
-#: Different words that a worker remembers.
+#: Different words that a worker remembers, besides those of one batch.
 CACHE_WORDS = 400_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -33,6 +34,19 @@ def word_bpe_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class _Numbers(dict):
+    """Words numbered as they are first asked for; ``fresh`` are those whose ids are still to be learned."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        self.fresh.append(word)
+        return n
+
+
 class WordCachedTokenizer:
     """Ids as ``Tokenizer.encode(text, add_special_tokens=False)`` gives them, for tokenizers that drop white space.
 
@@ -42,56 +56,70 @@ class WordCachedTokenizer:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[k for word, k in vocabulary.items() if word.endswith("</w>")]] = True
+        self.latin = Tokenizer(self.tokenizer.model)  # for runs of letters that need no rules to find and no change
+        self.latin.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), self.tokenizer.pre_tokenizer[1]])
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = _Numbers()
         self.pool, self.used = np.zeros(1 << 20, np.uint32), 0
         self.start, self.size = np.zeros(1 << 17, np.int64), np.zeros(1 << 17, np.int64)
 
-    def _put(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
-        n, m = len(self.known), len(words)
+    def _put(self, numbers: list[int], ids: np.ndarray, sizes: np.ndarray) -> None:
         while self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        while n + m > len(self.start):
+        while len(self.known) > len(self.start):
             self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
         self.pool[self.used : self.used + len(ids)] = ids
-        self.start[n : n + m] = self.used + np.cumsum(sizes) - sizes
-        self.size[n : n + m] = sizes
+        self.start[numbers] = self.used + np.cumsum(sizes) - sizes
+        self.size[numbers] = sizes
         self.used += len(ids)
-        self.known.update(zip(words, range(n, n + m)))
 
-    def _ask(self, words: list[str]) -> None:
+    def _ask(self, words: list[str], numbers: list[int]) -> None:
         found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        self._put(words, np.array([i for ids in found for i in ids], np.uint32), np.array([len(ids) for ids in found], np.int64))
+        self._put(numbers, np.array([i for ids in found for i in ids], np.uint32), np.array([len(ids) for ids in found], np.int64))
 
-    def _ask_letters(self, words: list[str]) -> None:
+    def _ask_letters(self, words: list[str], numbers: list[int], tokenizer) -> None:
         """Runs of letters, many at once: the last id of each is one that ends a word."""
-        for at in range(0, len(words), 512):
-            some = words[at : at + 512]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
+        for at in range(0, len(words), 128):
+            some = words[at : at + 128]
+            ids = np.array(tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
             last = np.flatnonzero(self.ends[ids])
             if len(last) == len(some):
-                self._put(some, ids, np.diff(last, prepend=-1))
+                self._put(numbers[at : at + 128], ids, np.diff(last, prepend=-1))
             else:
-                self._ask(some)
-
-    def _learn(self, words: set[str]) -> None:
-        plain = [w for w in words if w.isalpha()]
-        marked = [w for w in words if w[-1] in ".," and w[:-1].isalpha()]
-        marked_ = set(marked)
-        rest = [w for w in words if not w.isalpha() and w not in marked_]
-        stems = {w[:-1] for w in marked}.difference(self.known, plain)
-        self._ask_letters(plain + list(stems))
-        self._ask(rest + [m for m in {w[-1] for w in marked} if m not in self.known and m not in words])
+                self._ask(some, numbers[at : at + 128])
+
+    def _learn(self) -> None:
+        """The ids of all fresh words; letters with ASCII marks behind them are put together from both parts."""
+        fresh, self.known.fresh = self.known.fresh, []
+        first = len(self.known) - len(fresh)
+        kinds: dict[str, tuple[list[str], list[int]]] = {k: ([], []) for k in ("latin", "letters", "other")}
+        marked, parts = [], []
+        while fresh:
+            for n, word in enumerate(fresh, first):
+                stem = word.rstrip(_MARKS)
+                if len(stem) < len(word) and stem.isalpha():
+                    marked.append(n)
+                    parts += (self.known[stem], self.known[word[len(stem) :]])  # either may be fresh itself
+                    continue
+                words, numbers = kinds["other" if not word.isalpha() else "latin" if word.isascii() or max(word) < "\u0250" else "letters"]
+                words.append(word)
+                numbers.append(n)
+            first += len(fresh)
+            fresh, self.known.fresh = self.known.fresh, []
+        self._ask_letters(*kinds["latin"], self.latin)
+        self._ask_letters(*kinds["letters"], self.tokenizer)
+        if kinds["other"][0]:
+            self._ask(*kinds["other"])
         if marked:
-            at = np.array([(self.known[w[:-1]], self.known[w[-1]]) for w in marked], np.int64).reshape(-1)
+            at = np.array(parts, np.int64)
             self._put(marked, self._gather(at), self.size[at].reshape(-1, 2).sum(axis=1))
 
     def _gather(self, at: np.ndarray) -> np.ndarray:
@@ -109,24 +137,24 @@ class WordCachedTokenizer:
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """The ids of whole texts, one after the other; new words of all texts are learned together."""
+        if len(self.known) > CACHE_WORDS:
+            self._clear()
+        number = self.known.__getitem__
         split = [self._words(t) for t in texts]
-        found = [list(map(self.known.get, words)) if words else [] for words in split]
-        fresh = {w for words, at in zip(split, found) if None in at for w, k in zip(words, at) if k is None}
-        if fresh:
-            if len(self.known) + 2 * len(fresh) > CACHE_WORDS:
-                self._clear()
-                fresh = {w for words in split if words for w in words}
-                found = [[None] * len(at) for at in found]
-            self._learn(fresh)
-        for text, words, at in zip(texts, split, found):
-            if words is None:
+        found = [np.fromiter(map(number, words), np.int64, len(words)) if words else words for words in split]
+        if self.known.fresh:
+            self._learn()
+        for text, at in zip(texts, found):
+            if at is None:
                 yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-            elif not words:
+            elif not len(at):
                 yield np.zeros(0, np.uint32)
             else:
-                yield self._gather(np.array(list(map(self.known.__getitem__, words)) if None in at else at, np.int64))
+                yield self._gather(at)
 
 
+#: What the tokenizer never takes into a run of letters.
+_MARKS = string.punctuation
 #: Where Python splits or lower-cases otherwise than the tokenizer, or the tokenizer knows the string as a whole.
 _ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "\u03a3", "<|startoftext", "<|endoftext")
 

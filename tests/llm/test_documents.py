@@ -444,6 +444,37 @@ def test_packing(spark, odd, none):
     assert packing.pack_documents(odd).count() >= 12 and packing.pack_documents(none).count() == 0
 
 
+class Told:
+    """A tokenizer that notes what it is asked for."""
+
+    def __init__(self, tokenizer, told):
+        self.tokenizer, self.told = tokenizer, told
+
+    def encode_batch_fast(self, texts, **how):
+        self.told += [w for t in texts for w in t.split()]
+        return self.tokenizer.encode_batch_fast(texts, **how)
+
+
+def test_letters_are_tokenized_once_whatever_marks_follow(monkeypatch):
+    words = packing.WordCachedTokenizer(packing.word_bpe_path())
+    plain, told = words.tokenizer, []
+    for name in [k for k, v in vars(words).items() if isinstance(v, type(plain))]:
+        monkeypatch.setattr(words, name, Told(getattr(words, name), told))
+    texts = ["zanthery### zanthery, Zanthery!!! zanthery", "zanthery&&& über### über. ünter", "### ... zanthery\"?", "ünter: don't don'ts' x'_ _y 'll' q'll"]
+    assert [list(ids) for ids in words.encode(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert sorted(told) == sorted(set(told)) and sum("zanthery" in w for w in told) == sum("über" in w for w in told) == 1
+
+
+def test_remembered_words_equal_the_tokenizer(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_WORDS", 300)
+    words = packing.WordCachedTokenizer(packing.word_bpe_path())
+    rng = random.Random(12)
+    letters = "abcdeEÉßñıİªµɐжΩσ日本가ǅʼ0129²½.,;:!?'\"#%&_-–…€😀\u0301"
+    for _ in range(40):
+        texts = [" ".join("".join(rng.choice(letters) for _ in range(rng.randint(1, 5))) + rng.choice(["", ".", "##", "'s", "'"]) for _ in range(rng.randint(0, 40))) for _ in range(6)]
+        assert [list(ids) for ids in words.encode(texts)] == [words.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 512), min_size=1, max_size=80))
 def test_windows_hold_everything_once(sizes):
