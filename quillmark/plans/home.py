@@ -114,7 +114,8 @@ class Topic:
         if not held or (held.get("version"), held.get("n")) != (now["version"], now["n"]):
             return None
         at = self.path / "keyword" / f"v{held['version']}"
-        return self.spark.read.parquet(str(at / "postings")), self.spark.read.parquet(str(at / "sizes"))
+        posts = self.spark.read.parquet(str(at / "postings"))
+        return (posts, self.spark.read.parquet(str(at / "sizes"))) if "terms" in posts.columns else None  # formerly a row for each term
 
     # --- changes ---
 

@@ -110,13 +110,13 @@ class Library:
         k = max(0, int(k))
         numbered = rows.withColumn("key", F.xxhash64("id")).select(F.col("key").alias("id"), "topic", "text", "embedding")
         pool = retrieve.pool_size(k)
-        posts, sizes = index or (keyword.postings(numbered), keyword.topic_sizes(numbered))
-        dense = retrieve.dense_topk(queries, numbered, pool, min_score, per_topic=True)
-        words = keyword.best(keyword.bm25(posts, sizes, queries), "bm", pool, by=("query_id", "topic"))
+        posts, sizes = index or (numbered, keyword.topic_sizes(numbered))
+        words = keyword.bm25_best(posts, sizes, queries, pool, per_topic=True)
+        kept = None
         if route:
             near = retrieve.route(queries.select("query_id", "qv"), retrieve.centroids(rows)).where("chosen").select("query_id", "topic")
-            dense, words = (leg.join(near, ["query_id", "topic"], "left_semi") for leg in (dense, words))
-        fused = retrieve.fused(retrieve.with_cosine(retrieve.candidates(dense, words), queries, numbered), mode)
+            kept = lambda leg: leg.join(near, ["query_id", "topic"], "left_semi")
+        fused = retrieve.fused(retrieve.pooled(queries, numbered, words, pool, min_score, per_topic=True, kept=kept), mode)
         held = rows.select(F.xxhash64("id").alias("key"), F.col("id").alias("name"), "topic", "doc", "text", "meta")
         found = fused.join(held, fused.id == held.key).drop("id", "key").withColumnRenamed("name", "id")
         if entity is not None:

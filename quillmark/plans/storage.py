@@ -25,6 +25,13 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows.repartition(cores) if rows.rdd.getNumPartitions() * 2 <= cores else rows
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """1024 rows in an Arrow batch at most, from now on in this session: that bounds the texts a worker holds."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= 1024:
+        spark.conf.set(key, "1024")
+
+
 def materialized(df: DataFrame, tag: str) -> DataFrame:
     """``df`` written as Parquet and read again: lineage ends here, and lost executors lose nothing."""
     path = f"{shared_dir(df.sparkSession)}/quillmark/{tag}-{uuid.uuid4().hex}"

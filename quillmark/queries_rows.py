@@ -98,7 +98,7 @@ def stored_keyword_index(spark, d):
     where, chunks = f"{shared_dir(spark)}/quillmark/index-{uuid.uuid4().hex}", texts(spark, d)
     keyword.postings(chunks).write.parquet(f"{where}/postings")
     keyword.topic_sizes(chunks).write.parquet(f"{where}/sizes")
-    return _hits(keyword.best(keyword.bm25(spark.read.parquet(f"{where}/postings"), spark.read.parquet(f"{where}/sizes"), questions(spark, d)), "bm", 5), "bm")
+    return _hits(keyword.bm25_best(spark.read.parquet(f"{where}/postings"), spark.read.parquet(f"{where}/sizes"), questions(spark, d), 5), "bm")
 
 
 # --- edges ---------------------------------------------------------------------------------------

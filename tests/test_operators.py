@@ -133,6 +133,78 @@ def test_bm25_prefers_rare_terms(spark):
     assert top("which file is the atomic commit point")[0] == 1 and top("manifest") == [4, 0] and top("manifest.json") == [1] and top("zebra") == [] and top("tombstoned 20%")[0] == 2
 
 
+def _by_hand(texts, asked, k, per_topic):
+    """BM25 of ``texts(topic, id, text)``, row by row."""
+    import math
+    import re
+
+    from quillmark.functions import text as T
+
+    cut = lambda x: [t for t in re.findall(T.TERM, (x or "").lower()) if t not in T.STOP_WORDS]
+    found = {}
+    for topic in {t for t, _, _ in texts}:
+        docs = [(i, cut(x)) for t, i, x in texts if t == topic]
+        average = sum(len(ts) for _, ts in docs) / len(docs)
+        for query, text in asked:
+            for i, ts in docs:
+                score = 0.0
+                for term in set(cut(text)) & set(ts):
+                    df, tf = sum(term in x for _, x in docs), ts.count(term)
+                    score += math.log(1 + (len(docs) - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(ts) / average))
+                if score:
+                    found.setdefault((query, topic) if per_topic else query, []).append((-round(score, 9), i, topic))
+    return sorted((key[0] if per_topic else key, t, i, n + 1, -s) for key, held in found.items() for n, (s, i, t) in enumerate(sorted(held)[:k]))
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_bm25_best_equals_brute_force(spark, monkeypatch, small):
+    """From texts and from postings, whole and in blocks, with ties, blank and missing texts; no row is made for a term, a chunk and a query."""
+    import random
+
+    if small:
+        for name, value in (("PAIRS", 24), ("WEIGHTS", 16), ("SCORES", 40), ("BUFFER", 25)):
+            monkeypatch.setattr(keyword, name, value)
+    dice = random.Random(5)
+    word = lambda: dice.choice(["alpha", "beta", "gamma", "delta", "eps", "the", "v1.2", "20%", "zeta", "eta"])
+    texts = [(f"t{k % 3}", k, " ".join(word() for _ in range(dice.randint(1, 9)))) for k in range(120)] + [("t0", 200, None), ("t0", 201, ""), ("t1", 202, "the"), ("t2", 203, "alpha beta"), ("t2", 204, "Alpha, BETA")]
+    asked = [(q, " ".join(word() for _ in range(4))) for q in range(9)] + [(50, "unknown"), (51, None), (52, "the")]
+    chunks, queries = spark.createDataFrame(texts, "topic string, id long, text string"), spark.createDataFrame(asked, "query_id long, text string")
+    for per_topic in (False, True):
+        want = _by_hand(texts, asked, 3, per_topic)
+        for posts in (chunks, keyword.postings(chunks)):
+            found = keyword.bm25_best(posts, keyword.topic_sizes(chunks), queries, 3, per_topic)
+            assert rows(found, "query_id", "topic", "id", "rank", "bm") == [pytest.approx(x) for x in want]
+            assert "Join" not in found._jdf.queryExecution().sparkPlan().toString()
+    assert rows(keyword.bm25_best(chunks, keyword.topic_sizes(chunks), queries.where("query_id > 49"), 3), "id") == []
+    assert rows(keyword.term_df(chunks), "topic", "term", "df") == rows(keyword.term_df(keyword.postings(chunks)), "topic", "term", "df")
+
+
+@pytest.mark.parametrize("block", [4096, 2])
+def test_pools_have_true_cosines_in_one_pass(spark, monkeypatch, block):
+    """Rows that only the keyword leg found get their cosine from the pass that finds the nearest; vectors meet no join."""
+    monkeypatch.setattr(retrieve, "QUERY_BLOCK", block)
+    monkeypatch.setattr(retrieve, "TILE_CHUNKS", 4)
+    chunks = spark.createDataFrame([(i, [1.0, i / 10]) for i in range(30)] + [(99, [-1.0, 0.0])], "id long, embedding array<double>")
+    asked = spark.createDataFrame([(q, [1.0, q / 2]) for q in range(5)], "query_id long, qv array<double>")
+    words = spark.createDataFrame([(q, i, 1.0) for q in range(5) for i in (99, 3)] + [(0, 555, 1.0)], "query_id long, id long, bm double")
+    found = retrieve.pooled(asked, chunks, words.where("id <> 555"), 2, 0.0)
+    nearest = lambda q: sorted(range(30), key=lambda i: (-round(1 + q * i / 20, 9), i))[:2]
+    want = sorted((q, i, round(-1.0 if i == 99 else 1 + q * i / 20, 9), i in nearest(q), i in (99, 3)) for q in range(5) for i in {99, 3, *nearest(q)})
+    assert rows(found, "query_id", "id", "cos", "in_dense", "in_kw") == want
+    assert "embedding" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_texts_of_hits_are_not_shuffled(spark, monkeypatch):
+    chunks = spark.createDataFrame([(i, f"text {i}") for i in range(40)], "id long, text string")
+    hits = spark.createDataFrame([(q, q * 3 % 40, 1) for q in range(50)], "query_id long, id long, rank long")
+    for held in (1 << 17, 7):
+        monkeypatch.setattr(retrieve, "HITS", held)
+        found = retrieve.with_texts(hits, chunks)
+        assert rows(found, "query_id", "id", "text") == sorted((q, q * 3 % 40, f"text {q * 3 % 40}") for q in range(50))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+
+
 def test_components_by_one_task_and_by_stars(spark, monkeypatch):
     from quillmark.operators import duplicates
 
