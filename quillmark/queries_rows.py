@@ -132,9 +132,9 @@ def edges_without_sources(spark, d):
 
 @query(f"WITH {_E} SELECT count(*) AS pairs, (SELECT count(*) FROM (SELECT src FROM e UNION SELECT dst FROM e)) AS nodes FROM (SELECT DISTINCT src, dst FROM e)")
 def graph_size(spark, d):
-    edges = _edges(spark, d)
-    nodes = graph.both_ways(edges).select("at").distinct().agg(F.count("*").alias("nodes"))
-    return edges.select("src", "dst").distinct().agg(F.count("*").alias("pairs")).join(F.broadcast(nodes)).select("pairs", "nodes")
+    rows = table(spark, d, "lineitem")
+    ends = rows.select(F.concat(F.lit("s"), F.col("l_suppkey")).alias("src"), F.concat(F.lit("p"), F.col("l_partkey")).alias("dst"))
+    return graph.size(ends, 8 * rows.rdd.getNumPartitions())
 
 
 # --- notes ---------------------------------------------------------------------------------------

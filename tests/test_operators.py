@@ -93,6 +93,15 @@ def test_topic_paths_keep_what_related_can_keep(spark):
     assert few.count() < every.count() / 2
 
 
+def test_size_counts_without_aggregating_splits(spark):
+    edges = spark.createDataFrame([("a", "b"), ("a", "b"), ("b", "a"), ("c", None), (None, "c"), ("c", None)], "src string, dst string")
+    found = graph.size(edges, 3)
+    assert rows(found, "pairs", "nodes") == [(4, 4)]
+    plan = found._jdf.queryExecution().sparkPlan().toString().splitlines()
+    first = max(k for k, line in enumerate(plan) if "Repartition" in line or "Exchange" in line)
+    assert not any("HashAggregate" in line for line in plan[first:])
+
+
 def test_sessions_and_context(spark):
     turns = spark.createDataFrame([("s", 0, "user", "keep numpy"), ("s", 1, "assistant", "until 100k chunks")], "session string, turn long, role string, text string")
     assert rows(sessions.numbered(turns), "name") == [("00001-user",), ("00002-assistant",)]
